@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The analysis this package re-expresses reads one batch table; it has no
+streams, watermarks or stateful operators, so nothing is built here.
+"""
