@@ -68,4 +68,6 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     if checkpoint_dir(spark):
         return df.checkpoint(eager=True)
-    return df.cache()
+    df = df.cache()
+    df.count()
+    return df
