@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import col, map_literal, null_text, score_lookup
 from ..schema import SeveritySchema
+from ..session import cut_lineage
 
 _K, _Y, _P = "_key", "_year", "_period"
 
@@ -114,7 +115,8 @@ def zscore(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("_mu", "_sd")
 
 
-def consolidate(df: DataFrame, s: SeveritySchema, standardise: bool = True) -> DataFrame:
+def consolidate(df: DataFrame, s: SeveritySchema, standardise: bool = True,
+                pin: bool = True) -> DataFrame:
     """A1 (after W1): one row per incident.
 
     Per incident: sum of the scores of its distinct data types, number of
@@ -136,6 +138,9 @@ def consolidate(df: DataFrame, s: SeveritySchema, standardise: bool = True) -> D
         *[col(f) for f in s.split_fields],
     )
     if standardise:
+        # pinned once: the one-row mean/std and every later consumer read the
+        # incident table instead of re-running scan + joins + aggregation
+        out = cut_lineage(out) if pin else out
         out = zscore(out.withColumn(s.score_col, F.col("raw_score").cast("double")), s.score_col)
         out = out.select(s.ref, "raw_score", s.score_col, s.subject_count_col, s.year, s.period,
                          *s.split_fields)

@@ -69,9 +69,7 @@ def preprocess(raw: DataFrame, s: SeveritySchema, encode: bool = True, impute_mi
         if missing_cols:
             raise ValueError(f"Missing required columns: {missing_cols}")
     levels = load_levels(raw, s, validate)
-    cons = entity.consolidate(raw, s)
-    if pin:
-        cons = cut_lineage(cons)
+    cons = entity.consolidate(raw, s, pin=pin)
     cleaned, steps = enc.drop_low_share_unknowns(cons, s.incident_categories, s.unknown_labels,
                                                  threshold)
     out = enc.years_since_start(cleaned, s).drop("raw_score")

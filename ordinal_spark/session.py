@@ -67,7 +67,11 @@ def cut_lineage(df, spark: SparkSession | None = None):
     """
     spark = spark or df.sparkSession
     if checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
+        # cache first, or the checkpoint write re-runs the whole plan
+        df = df.persist()
+        out = df.checkpoint(eager=True)
+        df.unpersist()
+        return out
     df = df.cache()
     df.count()
     return df
