@@ -60,14 +60,20 @@ def _signatures(pts: DataFrame, cats: Sequence[str], rounds: Sequence[int]) -> D
     return pts.select("*", F.explode(F.array(*rows)).alias("_b")).select("*", "_b.*").drop("_b")
 
 
-def _pair_candidates(a: DataFrame, b: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """Distinct (point, candidate) pairs sharing a block key, with distance."""
+def _pair_candidates(a: DataFrame, b: DataFrame, cats: Sequence[str],
+                     bound: str | None = None) -> DataFrame:
+    """Distinct (point, candidate) pairs sharing a block key, with distance.
+    With ``bound`` (an upper bound of the point's k-th distance, or null)
+    pairs beyond it are dropped right after the join."""
     mism = F.lit(0)
     for c in cats:
         mism = mism + (~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))).cast("int")
     j = a.alias("a").join(b.alias("b"), ["_y", "_h", "_gi", "_sig"])
+    d2 = (F.col("a._s") - F.col("b._s")) ** 2 + F.col("a._med") ** 2 * mism
+    if bound is not None:
+        j = j.where(F.col(f"a.{bound}").isNull() | (d2 <= F.col(f"a.{bound}")))
     return (j.select(F.col("_y"), F.col("a._pid").alias("_pid"), F.col("b._pid").alias("_nb"),
-                     ((F.col("a._s") - F.col("b._s")) ** 2 + F.col("a._med") ** 2 * mism).alias("_d2"),
+                     d2.alias("_d2"),
                      F.when(F.col("a._pid") == F.col("b._pid"), F.col("b._m") - 1)
                      .otherwise(F.col("b._m")).alias("_mult"),
                      F.col("a._med").alias("_med"))
@@ -101,26 +107,33 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
 
     nf = len(cats)
     rounds = list(range(nf)) + [nf]
-    # radius at which each point's neighbour list is provably complete
-    state = pts.select("_y", "_pid", F.lit(None).cast("int").alias("_hf"))
+    # pending points carry an upper bound of their k-th distance from the
+    # previous round; pairs farther than that bound cannot be neighbours
+    pending = pts.select("_y", "_pid", F.lit(None).cast("double").alias("_ub"))
+    done = []
     for h in rounds:
-        pend = state.where(F.col("_hf").isNull()).select("_y", "_pid")
-        a = _signatures(pts.join(pend, ["_y", "_pid"], "left_semi"), cats, [h])
+        a = _signatures(pts.join(pending, ["_y", "_pid"]), cats, [h])
         b = _signatures(pts, cats, [h])
-        used = _take_k(_pair_candidates(a, b, cats), k)
+        cands = _pair_candidates(a, b, cats, bound="_ub")
+        used = _take_k(cands, k)
         stat = used.groupBy("_y", "_pid").agg(F.max("_ce").alias("_tot"), F.max("_d2").alias("_rk"),
                                              F.first("_med").alias("_med"))
+        st = pending.join(stat, ["_y", "_pid"], "left")
         bound = F.lit(float(h + 1)) * F.col("_med") ** 2
-        ok = (F.col("_tot") >= k) & ((F.col("_rk") < bound) | F.lit(h == nf))
-        fin = stat.where(ok).select("_y", "_pid", F.lit(h).alias("_fin"))
-        state = cut_lineage(state.join(fin, ["_y", "_pid"], "left")
-                            .select("_y", "_pid", F.coalesce("_hf", "_fin").alias("_hf")))
-        if h == nf or state.where(F.col("_hf").isNull()).isEmpty():
+        ok = F.coalesce((F.col("_tot") >= k) & ((F.col("_rk") < bound) | F.lit(h == nf)),
+                        F.lit(False))
+        fin = st.where(ok).select("_y", "_pid")
+        done.append(cut_lineage(used.join(fin, ["_y", "_pid"], "left_semi")
+                                .select("_y", "_pid", "_nb", "_cs", "_ce")))
+        # still open: keep the tightest known bound of the k-th distance
+        nxt = st.where(~ok).select("_y", "_pid", F.when(F.col("_tot") >= k, F.col("_rk"))
+                                   .otherwise(F.col("_ub")).alias("_ub"))
+        pending = cut_lineage(nxt)
+        if h == nf or pending.isEmpty():
             break
-    # one final pass: each point searches only the blocks of its own radius
-    a = _signatures(pts.join(state, ["_y", "_pid"]), cats, rounds).where(F.col("_h") == F.col("_hf"))
-    b = _signatures(pts, cats, rounds)
-    nbr = _take_k(_pair_candidates(a.drop("_hf"), b, cats), k)
+    nbr = done[0]
+    for d in done[1:]:
+        nbr = nbr.unionByName(d)
     slots = (nbr.withColumn("slot", F.explode(F.sequence(
         F.col("_cs").cast("int"), F.least(F.col("_ce"), F.lit(k)).cast("int") - 1)))
         .select("_y", "_pid", "slot", "_nb"))
