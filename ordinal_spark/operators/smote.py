@@ -11,14 +11,17 @@ Exact k nearest neighbours without emitting all pairs of a class:
 * Rows with identical features collapse into one *point* with a multiplicity;
   neighbours are found between points (a row's own duplicates are its
   distance-0 neighbours).
-* Round h (h = 0, 1, ...): split the F categorical features into h+1
-  groups. Two points within Hamming distance h agree on at least one group
-  (pigeonhole), so equi-joins on the h+1 group signatures return every point
-  within Hamming distance h. Any point not returned is at d^2 >= (h+1) Med^2,
-  so a point whose k-th neighbour distance is below that is finished; the
-  others go to round h+1. Only unfinished points take part in later rounds.
-  After the single-feature round the few points left (fewer than k rows
-  share any category with them) are compared with their whole class.
+* Pigeonhole blocking: cut the F categorical features into h+1 groups; two
+  points within Hamming distance h agree on at least one group, so one
+  equi-join on exploded (radius, group, signature) keys returns every point
+  within Hamming distance h, and no point outside is nearer than
+  (h+1) Med^2.
+* Pass 1 (radius 1, two halves of the features): points whose k-th distance
+  is below 2 Med^2 are finished. For the rest the k rows found bound the k-th
+  distance by ub, and any true neighbour has H Med^2 <= ub.
+* Pass 2 searches each open point at radius h* = floor(ub / Med^2) (its own
+  radius, one mixed join), dropping pairs beyond ub: exact by the two facts
+  above. A point without k rows in pass 1 is compared with its whole class.
 
 Synthetic rows (imbalanced-learn convention): base row uniform among the
 class rows, neighbour uniform among its k neighbour rows, continuous value
@@ -106,34 +109,35 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
     pts = cut_lineage(pts.join(F.broadcast(med), "_y"))  # class table: K rows
 
     nf = len(cats)
-    rounds = list(range(nf)) + [nf]
-    # pending points carry an upper bound of their k-th distance from the
-    # previous round; pairs farther than that bound cannot be neighbours
-    pending = pts.select("_y", "_pid", F.lit(None).cast("double").alias("_ub"))
-    done = []
-    for h in rounds:
-        a = _signatures(pts.join(pending, ["_y", "_pid"]), cats, [h])
-        b = _signatures(pts, cats, [h])
-        cands = _pair_candidates(a, b, cats, bound="_ub")
-        used = _take_k(cands, k)
-        stat = used.groupBy("_y", "_pid").agg(F.max("_ce").alias("_tot"), F.max("_d2").alias("_rk"),
-                                             F.first("_med").alias("_med"))
-        st = pending.join(stat, ["_y", "_pid"], "left")
-        bound = F.lit(float(h + 1)) * F.col("_med") ** 2
-        ok = F.coalesce((F.col("_tot") >= k) & ((F.col("_rk") < bound) | F.lit(h == nf)),
-                        F.lit(False))
-        fin = st.where(ok).select("_y", "_pid")
-        done.append(cut_lineage(used.join(fin, ["_y", "_pid"], "left_semi")
-                                .select("_y", "_pid", "_nb", "_cs", "_ce")))
-        # still open: keep the tightest known bound of the k-th distance
-        nxt = st.where(~ok).select("_y", "_pid", F.when(F.col("_tot") >= k, F.col("_rk"))
-                                   .otherwise(F.col("_ub")).alias("_ub"))
-        pending = cut_lineage(nxt)
-        if h == nf or pending.isEmpty():
-            break
-    nbr = done[0]
-    for d in done[1:]:
-        nbr = nbr.unionByName(d)
+    # pass 1: radius-1 blocks (two halves of the features). Points whose k-th
+    # distance is below 2 Med^2 are finished; for the others the k rows found
+    # give an upper bound ub of the k-th distance.
+    h1 = min(1, nf)
+    a = _signatures(pts, cats, [h1])
+    used = _take_k(_pair_candidates(a, a, cats), k)
+    stat = used.groupBy("_y", "_pid").agg(F.max("_ce").alias("_tot"), F.max("_d2").alias("_ub"))
+    st = pts.select("_y", "_pid", "_med").join(stat, ["_y", "_pid"], "left")
+    ok = F.coalesce((F.col("_tot") >= k) & (F.col("_ub") < F.lit(float(h1 + 1)) * F.col("_med") ** 2),
+                    F.lit(False))
+    st = cut_lineage(st.withColumn("_ok", ok))
+    first = used.join(st.where("_ok").select("_y", "_pid"), ["_y", "_pid"], "left_semi")
+    # pass 2: every neighbour of an open point has H Med^2 <= ub, so searching
+    # radius h* = floor(ub / Med^2) is exact; no bound -> the whole class
+    hstar = F.when(F.col("_tot") >= k, F.least(F.floor(F.col("_ub") / F.col("_med") ** 2),
+                                               F.lit(nf))).otherwise(F.lit(nf)).cast("int")
+    rest = st.where(~F.col("_ok")).select("_y", "_pid", hstar.alias("_hs"),
+                                          F.when(F.col("_tot") >= k, F.col("_ub")).alias("_ub"))
+    radii = sorted(r[0] for r in rest.select("_hs").distinct().collect())  # <= F+1 values
+    parts = [first.select("_y", "_pid", "_nb", "_cs", "_ce")]
+    if radii:
+        a2 = (_signatures(pts.join(rest, ["_y", "_pid"]), cats, radii)
+              .where(F.col("_h") == F.col("_hs")).drop("_hs"))
+        b2 = _signatures(pts, cats, radii)
+        second = _take_k(_pair_candidates(a2, b2, cats, bound="_ub"), k)
+        parts.append(second.select("_y", "_pid", "_nb", "_cs", "_ce"))
+    nbr = parts[0]
+    for q in parts[1:]:
+        nbr = nbr.unionByName(q)
     slots = (nbr.withColumn("slot", F.explode(F.sequence(
         F.col("_cs").cast("int"), F.least(F.col("_ce"), F.lit(k)).cast("int") - 1)))
         .select("_y", "_pid", "slot", "_nb"))

@@ -146,6 +146,15 @@ def candidates(features: Sequence[str], label: str, configs: Mapping[str, Sequen
     return out
 
 
+def fold_resampler(prep: Prepared, s: SeveritySchema, **kw) -> Callable[[DataFrame], DataFrame]:
+    """R6 for training folds, with the dummy metadata of this preparation."""
+    from ..operators.smote import resample_training
+
+    def run(train: DataFrame) -> DataFrame:
+        return resample_training(train, s.target, s.ref, s.score_col, prep.dummies, **kw)
+    return run
+
+
 def class_levels(df: DataFrame, label: str) -> list[int]:
     return sorted(r[0] for r in df.select(label).distinct().collect())  # K values
 
@@ -153,9 +162,11 @@ def class_levels(df: DataFrame, label: str) -> list[int]:
 def run_comparison(raw: DataFrame, s: SeveritySchema,
                    configs: Mapping[str, Mapping] | None = None, k: int = 5, seed: int = 42,
                    resampler: Callable[[DataFrame], DataFrame] | None = None,
-                   parallelism: int = 4) -> dict[str, DataFrame]:
+                   parallelism: int = 4, resample: bool = True) -> dict[str, DataFrame]:
     """Preprocess, cross-validate the four models, report E9-E13."""
     prep = preprocess(raw, s)
+    if resampler is None and resample:
+        resampler = fold_resampler(prep, s)
     data = cut_lineage(prep.data)
     feats = prep.features(s)
     classes = class_levels(data, s.target)
@@ -176,9 +187,11 @@ def run_comparison(raw: DataFrame, s: SeveritySchema,
 def tune_all(raw: DataFrame, s: SeveritySchema, grids: Mapping[str, Mapping] | None = None,
              metric: str = "weighted_mae", k: int = 5, seed: int = 42,
              resampler: Callable[[DataFrame], DataFrame] | None = None,
-             parallelism: int = 4) -> dict[str, DataFrame]:
+             parallelism: int = 4, resample: bool = True) -> dict[str, DataFrame]:
     """Grid search of every model; best parameters by ``metric``."""
     prep = preprocess(raw, s)
+    if resampler is None and resample:
+        resampler = fold_resampler(prep, s)
     data = cut_lineage(prep.data)
     feats = prep.features(s)
     classes = class_levels(data, s.target)
