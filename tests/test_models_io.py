@@ -95,3 +95,29 @@ def test_load_reports_csv(spark):
         load_reports(spark, empty, S)
     with pytest.raises(ValueError):
         S.struct_type({"nope": None})
+
+
+def test_tuning_report_tables(spark):
+    rows = []
+    for n, leaf, mf in [(100, 3, 5), (100, 3, 10), (100, 10, 5), (200, 3, 5)]:
+        rows.append(("ordered_forest", tuning.params_id(
+            {"n_estimators": n, "min_samples_leaf": leaf, "max_features": mf}), 0.5 + leaf / 100 + mf / 1000, 0.01))
+    for lr, d, l2 in [(0.01, 4, 3), (0.1, 4, 3), (0.1, 6, 6)]:
+        rows.append(("boosted_ordinal", tuning.params_id(
+            {"iterations": 10, "learning_rate": lr, "depth": d, "l2_leaf_reg": l2}), 0.4 + lr, 0.02))
+    rows.append(("conditional_ordinal_net", tuning.params_id(
+        {"hidden_layer_sizes": (64, 32), "lr": 0.001, "batch_size": 64, "epochs": 5}), 0.45, 0.0))
+    for a in (0.1, 1.0):
+        rows.append(("ordinal_logistic", tuning.params_id({"alpha": a}), 0.6 - a / 10, 0.05))
+    summ = spark.createDataFrame(rows, "model string, params_id string, mean double, std double")
+    rf = {r["min_samples_leaf"]: r for r in tuning.forest_pivot(summ, 100).collect()}
+    assert set(rf) == {3, 10} and abs(rf[3]["5"] - 0.535) < 1e-12 and rf[10]["10"] is None
+    cb = tuning.boosted_pivot(summ).collect()
+    assert len(cb) == 2 and {c for c in cb[0].asDict()} >= {"depth", "l2_leaf_reg"}
+    nn = tuning.net_by_architecture(summ).collect()
+    assert len(nn) == 1 and nn[0]["combos"] == 1
+    band = {r["alpha"]: r for r in tuning.logistic_band(summ).collect()}
+    assert abs(band[1.0]["lo"] - 0.45) < 1e-12 and abs(band[1.0]["hi"] - 0.55) < 1e-12
+    best = {r["model"]: r["params_id"] for r in tuning.best_params(summ.withColumn(
+        "folds", F.lit(5)), "weighted_mae").collect()}
+    assert best["ordinal_logistic"] == tuning.params_id({"alpha": 1.0})
