@@ -31,6 +31,8 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     (e.g. classes), so the statistics table (partitions x groups rows) is
     broadcast; otherwise it is joined normally.
     """
+    if out in ("_pid", "_pos", "_offset", "_first") or out.startswith("_o"):
+        raise ValueError(f"output name {out!r} is reserved")
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     names = [f"_o{i}" for i in range(len(order_cols))]
     base = df.withColumns({n: c for n, c in zip(names, order_cols)})

@@ -172,7 +172,8 @@ def run_comparison(raw: DataFrame, s: SeveritySchema,
     classes = class_levels(data, s.target)
     cfg = {n: [p] for n, p in (configs or REFERENCE_CONFIG).items()}
     cv = tuning.cross_validate(data, s.ref, s.target, candidates(feats, s.target, cfg, classes),
-                               k=k, seed=seed, resampler=resampler, parallelism=parallelism)
+                               k=k, seed=seed, resampler=resampler, parallelism=parallelism,
+                               permutation=True)
     long = M.long_scores(cv.scores, keys=("model", "params_id", "fold"))
     summ = M.cv_summary(long)
     out = {"scores": cv.scores, "summary": summ, "best_model": M.best_model(summ),

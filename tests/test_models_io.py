@@ -121,3 +121,11 @@ def test_tuning_report_tables(spark):
     best = {r["model"]: r["params_id"] for r in tuning.best_params(summ.withColumn(
         "folds", F.lit(5)), "weighted_mae").collect()}
     assert best["ordinal_logistic"] == tuning.params_id({"alpha": 1.0})
+
+
+def test_permutation_importance_finds_signal(spark, separable):
+    m = ConditionalOrdinalNet(["x1", "x2"], label="y", classes=[1, 2, 3, 4],
+                              hidden_layer_sizes=(8,), epochs=100).fit(separable)
+    imp = {r["feature"]: r["importance"] for r in tuning.permutation_importance(
+        m, separable, "key", "y", ["x1", "x2"]).collect()}
+    assert imp["x1"] > 0.5 and abs(imp["x2"]) < imp["x1"] / 5
