@@ -27,7 +27,8 @@ FROM cc"""
 @register("incident_class_distribution", CLASS_SQL)
 def incident_class_distribution(spark, sf):
     """Flagship: W1 -> A1 -> P2 -> A7 (class distribution of incidents)."""
-    cons = enc.ordinal_encode(C.consolidated(spark, sf), S)
+    # class counts need no standardised score: skip the pin + statistics job
+    cons = enc.ordinal_encode(entity.consolidate(C.reports(spark, sf), S, standardise=False), S)
     return C.round_doubles(profile.class_counts(cons, S.target))
 
 

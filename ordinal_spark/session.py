@@ -47,14 +47,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     Returns None when neither exists: callers then keep lineage instead.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no JVM context in this session type
+        pass
+    if not d and sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d and fallback:
         os.makedirs(fallback, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", fallback)
         d = fallback
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
+    if d and sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -24,8 +24,12 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     repartition added; inputs with enough splits (any large data set) are
     left untouched, so no extra shuffle at scale.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
