@@ -34,17 +34,20 @@ class Prepared:
 def load_levels(raw: DataFrame, s: SeveritySchema, validate: bool = True) -> dict[str, list[str]]:
     """One job over the raw table: V1/V2 validation (raises like the original)
     and the level lists of the category columns as fixed at load."""
-    inv = quality.domain_inventory(raw, s).collect()  # bounded by the domains when valid
-    bad = [r for r in inv if not r["is_valid"]]
-    if validate and bad:
-        shown = "\n".join(f"Invalid values in {r['column']}: {r['value']!r} ({r['n_rows']} rows)"
-                          for r in sorted(bad, key=lambda r: (r["column"], str(r["value"])))[:20])
-        raise ValueError(shown)
+    inv = quality.domain_inventory(raw, s).cache()
+    if validate:
+        # invalid values are unbounded: fetch at most 20 examples
+        bad = (inv.where(~F.col("is_valid")).orderBy("column", "value").limit(20).collect())
+        if bad:
+            raise ValueError("\n".join(
+                f"Invalid values in {r['column']}: {r['value']!r} ({r['n_rows']} rows)" for r in bad))
     cats = [c for c in s.dummies if c in s.categories]
+    valid = (inv.where(F.col("is_valid") & F.col("column").isin(*cats))
+             .select("column", "value").collect())  # bounded by the declared domains
+    inv.unpersist()
     out: dict[str, list[str]] = {c: [] for c in cats}
-    for r in inv:
-        if r["is_valid"] and r["column"] in out:
-            out[r["column"]].append(r["value"])
+    for r in valid:
+        out[r["column"]].append(r["value"])
     return {c: sorted(v) for c, v in out.items()}
 
 
