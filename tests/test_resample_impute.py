@@ -164,3 +164,17 @@ def test_low_share_filter_is_sequential(spark):
     assert [p.rows_after for p in plan] == [96, 92]
     out, _ = drop_low_share_unknowns(df, ["a", "b"])
     assert out.count() == 92
+
+
+def test_rebalance_gate(spark, prepared):
+    # ratio <= 3: the input is returned untouched
+    bal = spark.range(0, 90).select(F.col("id").cast("string").alias(S.ref),
+                                    ((F.col("id") % 3) + 1).cast("int").alias(S.target),
+                                    F.rand(1).alias(S.score_col))
+    assert smote.rebalance(bal, S.target, S.ref, S.score_col, []) is bal
+    # the fixture is imbalanced (> 3): it is resampled to the plan
+    d = prepared.data
+    out = smote.rebalance(d, S.target, S.ref, S.score_col, prepared.dummies)
+    plan = {r["class"]: r["over_target"] for r in resample.sampling_plan(d, S.target).collect()}
+    got = {r[0]: r[1] for r in out.groupBy(S.target).count().collect()}
+    assert got == plan
