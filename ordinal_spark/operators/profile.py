@@ -58,40 +58,36 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True,
     """Count, mean, std (ddof 1), min, quartiles, max and distinct count
     per numeric column; text columns get only the distinct count.
 
+    One aggregate over all columns (one pass), then a tiny unpivot.
     ``exact=True`` uses linear-interpolated ``percentile`` (pandas' method;
     its buffer grows with the number of distinct values - fine for years,
     codes and scores). For high-cardinality measures at scale pass
     ``exact=False`` (``percentile_approx``) and accept approximate quartiles.
     """
-    rows = []
-    for c in cols:
+    aggs, rows = [], []
+    nul = F.lit(None).cast("double")
+    for i, c in enumerate(cols):
         x = col(c)
-        numeric = isinstance(df.schema[c].dataType, T.NumericType)
-        if numeric:
+        aggs.append(F.count_distinct(x).cast("bigint").alias(f"_u{i}"))
+        if isinstance(df.schema[c].dataType, T.NumericType):
             xd = x.cast("double")
             q = (F.percentile(xd, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
                  else F.percentile_approx(xd, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
-            aggs = [F.count(x).cast("bigint").alias("count"), F.avg(xd).alias("mean"),
-                    F.stddev_samp(xd).alias("std"), F.min(xd).alias("min"),
-                    q.alias("_q"), F.max(xd).alias("max"),
-                    F.count_distinct(x).cast("bigint").alias("unique_values")]
+            aggs += [F.count(x).cast("bigint").alias(f"_c{i}"), F.avg(xd).alias(f"_m{i}"),
+                     F.stddev_samp(xd).alias(f"_s{i}"), F.min(xd).alias(f"_lo{i}"),
+                     q.alias(f"_q{i}"), F.max(xd).alias(f"_hi{i}")]
+            rows.append(F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
+                                 F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
+                                 F.col(f"_lo{i}").alias("min"), F.col(f"_q{i}")[0].alias("q25"),
+                                 F.col(f"_q{i}")[1].alias("q50"), F.col(f"_q{i}")[2].alias("q75"),
+                                 F.col(f"_hi{i}").alias("max"),
+                                 F.col(f"_u{i}").alias("unique_values")))
         else:
-            aggs = [F.count_distinct(x).cast("bigint").alias("unique_values")]
-        a = df.agg(*aggs)
-        if numeric:
-            a = a.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                         F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                         F.col("_q")[2].alias("q75"), "max", "unique_values")
-        else:
-            nul = F.lit(None).cast("double")
-            a = a.select(F.lit(c).alias("column"), F.lit(None).cast("bigint").alias("count"),
-                         nul.alias("mean"), nul.alias("std"), nul.alias("min"), nul.alias("q25"),
-                         nul.alias("q50"), nul.alias("q75"), nul.alias("max"), "unique_values")
-        rows.append(a)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+            rows.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("bigint").alias("count"),
+                                 nul.alias("mean"), nul.alias("std"), nul.alias("min"),
+                                 nul.alias("q25"), nul.alias("q50"), nul.alias("q75"),
+                                 nul.alias("max"), F.col(f"_u{i}").alias("unique_values")))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
