@@ -16,9 +16,12 @@ earlier (smaller doc_id, or the same document at an earlier byte).
   the later of the two goes whole. What is new becomes a level, and levels of
   like size merge, so a suffix is merged log(n) times.
 * Contexts that share only their q-gram may still agree in single windows.
-  Only the first of each such context is looked at window by window, in a
-  second scan that finds them by a bitmap of bounded size (its false positives
-  add work, never results).
+  Only the first of each such context is looked at window by window: a second
+  scan finds them by a bitmap of bounded size (its false positives add work,
+  never results) and sends their bytes to the bucket of the q-gram.
+* A q-gram with more than ``HOT`` contexts in a batch or bucket (the end of a
+  line that a third of all documents hold) is hot: its suffixes go to the
+  bucket of their context, and its windows each to a bucket of their own.
 
 Fingerprints have 64 bits: two different contexts or windows are taken as
 equal with a chance of about n * n / 2**65 over n compared ones.
@@ -34,30 +37,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bitmap import bitmap, bits_for, contains
 from .frames import buckets, documents, text_bytes, text_rows, versioned, written
 from .text import Spans, chunks, flat, mix, ragged
 
 LENGTH, QGRAM = 100, 24
+HOT = 64
+FLUSH = 1 << 19               # entries that a task holds before it sends them
 SHIFT = 40                    # a place is version << 40 | byte
-BITMAP_BITS = 1 << 28         # at most 32 MB
 HIGH = np.uint64(0xFFFFFFFF00000000)
 _U = np.uint64
 MOVED = "kind byte, bucket int, doc_id long, body binary"
-ENTRY = np.dtype([("code", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u1")])
+GONE, SUFFIX, FINE, BY_CONTEXT, FINE_HOT, CONTEXT, WINDOW = range(7)
+# n: windows after the first (MARK: the q-gram is hot); slot: the q-gram's bucket
+ENTRY = np.dtype([("code", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u1"), ("slot", "<u4")])
+MARK = 255
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
-    """(row, first window, last window, code, spans) of the anchors of a chunk;
+    """(row, first window, last window, code, q-gram, spans) of the anchors of a chunk;
     windows are byte positions in ``data``."""
     room = np.diff(offsets) - length + 1
     starts = offsets[:-1][room > 0]
     empty = np.zeros(0, np.int64)
     if not len(starts):
-        return empty, empty, empty, np.zeros(0, _U), None
+        return empty, empty, empty, np.zeros(0, _U), np.zeros(0, _U), None
     spans = Spans(data)
     grams = spans.fixed(len(data) - q + 1, q)
     bits = int(len(data)).bit_length()
@@ -76,7 +83,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
     context = mix(spans.raw(first, last + length) + (at - first).astype(_U) * _U(0x9FB21C651E98DF25)
                   + (last - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
     code = (grams[at] << _U(32)) | (context >> _U(32))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, code, spans
+    return np.searchsorted(offsets, first, "right") - 1, first, last, code, grams[at], spans
 
 
 def _order(e: np.ndarray) -> np.ndarray:
@@ -104,56 +111,89 @@ def _gone(e: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
         yield int(doc[i]), np.stack([begin[i:j], end[i:j]]).tobytes()
 
 
-def _rows(gone: np.ndarray, keep: np.ndarray, kind: int, n: int, length: int) -> pa.RecordBatch:
-    """Removed bytes by document (kind 0) and entries by bucket (``kind``)."""
-    rows = [(0, -1 - (d % n), d, b) for d, b in _gone(gone, length)]
-    if len(keep):
-        slot = (keep["code"] >> _U(32)) % _U(n) if kind == 1 else (keep["code"] >> _U(7)) % _U(n)
-        keep, slot = (x[np.argsort(slot, kind="stable")] for x in (keep, slot))
-        at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        rows += [(kind, int(slot[i]), None, columns(keep[i:j])) for i, j in zip(at, np.append(at[1:], len(keep)))]
+def _rows(gone: np.ndarray, length: int, n: int, *sent: tuple) -> pa.RecordBatch:
+    """Removed bytes by document, and (kind, slots, entries[, bodies]) by slot."""
+    rows = [(GONE, -1 - (d % n), d, b) for d, b in _gone(gone, length)]
+    for kind, slot, e, *text in sent:
+        by = np.argsort(slot, kind="stable")
+        slot, e = slot[by], e[by]
+        at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
+        for i, j in zip(at, np.append(at[1:], len(slot)) if len(slot) else []):
+            body = columns(e[i:j])
+            if text:
+                body = (j - i).tobytes() + body + b"".join(text[0][k] for k in by[i:j])
+            rows.append((kind, int(slot[i]), None, body))
     kinds, slots, docs, bodies = zip(*rows) if rows else ((),) * 4
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(slots, pa.int32()),
                                        pa.array(docs, pa.int64()), pa.array(bodies, pa.binary())],
                                       names=["kind", "bucket", "doc_id", "body"])
 
 
+def _spread(e: np.ndarray, n: int) -> np.ndarray:
+    """A slot by all of an entry's code."""
+    return ((mix(e["code"]) >> _U(20)) % _U(n)).astype(np.int64)
+
+
+def _runs(gram: np.ndarray) -> np.ndarray:
+    """For each entry of a sorted array, how many have its q-gram."""
+    if not len(gram):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    each = np.diff(np.append(at, len(gram)))
+    return np.repeat(each, each)
+
+
 def columns(e: np.ndarray) -> bytes:
     """Entries column by column, which Spark's shuffle compresses well."""
     return b"".join(e[k].tobytes() for k in ENTRY.names)
 
 
-def entries(body: bytes) -> np.ndarray:
-    n = len(body) // ENTRY.itemsize
-    out, at = np.empty(n, ENTRY), 0
+def entries(body: bytes, n: int | None = None, at: int = 0) -> np.ndarray:
+    n = len(body) // ENTRY.itemsize if n is None else n
+    out = np.empty(n, ENTRY)
     for k in ENTRY.names:
         out[k] = np.frombuffer(body, ENTRY[k], n, at)
         at += n * ENTRY[k].itemsize
     return out
 
 
-def _scan(batch: pa.RecordBatch, length: int, q: int):
-    """(entries, chunk's spans, first windows) for each chunk of a batch."""
+def _scan(batch: pa.RecordBatch, length: int, q: int, n: int):
+    """(entries, bytes, chunk's spans, first windows) for each chunk of a batch."""
     data, offsets = flat(batch.column("text"))
     docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
     base = batch.column("version").to_numpy(zero_copy_only=False) << SHIFT
     for a, b in chunks(offsets):
         at = offsets[a:b + 1] - offsets[a]
-        row, first, last, code, spans = anchors(data[offsets[a]:offsets[b]], at, length, q)
+        part = data[offsets[a]:offsets[b]]
+        row, first, last, code, gram, spans = anchors(part, at, length, q)
         e = np.empty(len(row), ENTRY)
-        e["code"], e["doc"], e["n"] = code, docs[a:b][row], last - first
+        e["code"], e["doc"], e["n"], e["slot"] = code, docs[a:b][row], last - first, gram % _U(n)
         e["at"] = base[a:b][row] + first - at[row]
-        yield e, spans, first
+        yield e, part, spans, first
 
 
 def batch_arrays(n: int, length: int, q: int):
     """Sorted sparse suffix arrays of each batch, cut by bucket."""
+    def send(found: list[np.ndarray]) -> pa.RecordBatch:
+        first, again = _split(np.concatenate(found))
+        hot = _runs(first["code"] & HIGH) > HOT
+        by_context, first = first[hot], first[~hot]
+        marks = by_context[np.unique(by_context["code"] & HIGH, return_index=True)[1]].copy()
+        marks["n"] = MARK
+        first = np.concatenate([first, marks])
+        return _rows(again, length, n, (SUFFIX, first["slot"], first), (BY_CONTEXT, _spread(by_context, n), by_context))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            found = [e for e, _, _ in _scan(batch, length, q) if len(e)]
-            if found:
-                first, again = _split(np.concatenate(found))
-                yield _rows(again, first, 1, n, length)
+            for e, *_ in _scan(batch, length, q, n):
+                found.append(e)
+                held += len(e)
+                if held >= FLUSH:
+                    yield send(found)
+                    found, held = [], 0
+        if held:
+            yield send(found)
     return run
 
 
@@ -190,84 +230,124 @@ class Levels:
         return both[np.argsort(both["code"], kind="stable")]
 
 
-def merge_bucket(length: int, n: int, windows: bool):
+def _family(bodies: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feed arriving arrays to a level family: (kept, later copies, hot grams)."""
+    family, later, marks = Levels(), [np.empty(0, ENTRY)], [np.zeros(0, _U)]
+    for body in bodies:
+        new = _order(entries(body.as_py()))
+        mark = new["n"] == MARK
+        marks.append(new["code"][mark] & HIGH)
+        later.append(family.add(new[~mark]))
+    return family.all(), np.concatenate(later), np.unique(np.concatenate(marks))
+
+
+def merge_bucket(length: int, n: int):
     """One bucket: its arrays join the level family one by one. Entries whose
-    q-gram has other contexts go on as kind 2, unless these are windows."""
+    q-gram has other contexts are to be looked at window by window."""
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        of = lambda kind: table.filter(pa.array(kinds == kind))
+        kept, later, marks = _family(of(SUFFIX).column("body"))
+        gram = kept["code"] & HIGH
+        runs = _runs(gram)
+        hot = (runs > HOT) | np.isin(gram, marks)
+        spread, more, _ = _family(of(BY_CONTEXT).column("body"))
+        fine, hot = kept[(runs > 1) & ~hot], np.concatenate([kept[hot], spread])
+        zero = lambda e: np.zeros(len(e), np.int64)
+        out = pa.Table.from_batches([_rows(np.concatenate([later, more]), length, n, (FINE, zero(fine), fine), (FINE_HOT, zero(hot), hot))])
+        return pa.concat_tables([of(GONE).cast(out.schema), out])
+    return run
+
+
+def merge_windows(length: int, n: int):
+    """Windows of one bucket: all but the first of each content go."""
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
-        passed = table.filter(pa.array(kinds == 0))
-        if (kinds == 0).all():
-            return passed
-        bodies = table.filter(pa.array(kinds != 0)).column("body")
-        family, later = Levels(), []
-        for body in bodies:
-            later.append(family.add(entries(body.as_py())))
-        kept = family.all()
-        if windows:
-            keep = kept[:0]
-        else:
-            gram = kept["code"] & HIGH
-            twin = gram[1:] == gram[:-1]
-            keep = kept[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-        out = pa.Table.from_batches([_rows(np.concatenate(later), keep[np.argsort(keep["code"])], 2, n, length)])
-        return pa.concat_tables([passed.cast(out.schema), out])
+        of = lambda kind: table.filter(pa.array(kinds == kind))
+        _, later, _ = _family(of(WINDOW).column("body"))
+        gone = [later]
+        found, data, sizes = [np.empty(0, ENTRY)], [], []
+        for body in of(CONTEXT).column("body"):
+            body = body.as_py()
+            m = int(np.frombuffer(body, np.int64, 1)[0])
+            found.append(entries(body, m, 8))
+            data.append(np.frombuffer(body, np.uint8, offset=8 + m * ENTRY.itemsize))
+        e = np.concatenate(found)
+        if len(e):
+            data = np.concatenate(data)
+            sizes = e["n"].astype(np.int64) + length
+            starts = np.cumsum(sizes) - sizes
+            by = np.argsort(e["code"], kind="stable")
+            e, starts, sizes = e[by], starts[by], sizes[by]
+            gram = e["code"] & HIGH
+            cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            i = 0
+            while i < len(cuts):  # whole q-grams, about 4,000 contexts at a time
+                j = min(len(cuts), max(i + 1, int(np.searchsorted(cuts, cuts[i] + 4000))))
+                a, b = cuts[i], cuts[j] if j < len(cuts) else len(e)
+                gone.append(_split(_windows(e[a:b], data[ragged(starts[a:b], sizes[a:b])], None, length))[1])
+                i = j
+        out = pa.Table.from_batches([_rows(np.concatenate(gone), length, n)])
+        return pa.concat_tables([of(GONE).cast(out.schema), out])
     return run
 
 
-def _bit(doc: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    return mix(doc.astype(_U) * _U(0x9E3779B97F4A7C15) + at.astype(_U)) & _U(bits - 1)
+def _windows(e: np.ndarray, data: np.ndarray, first: np.ndarray | None, length: int, spans: Spans | None = None) -> np.ndarray:
+    """An entry for each window of the contexts ``e``, which begin at ``first``
+    in ``data`` or lie there one after another."""
+    each = e["n"].astype(np.int64) + 1
+    if first is None:
+        first = np.cumsum(each + length - 1) - (each + length - 1)
+    at = ragged(first, each)
+    w = np.zeros(len(at), ENTRY)
+    w["code"], w["doc"] = (spans or Spans(data)).of(at, at + length), np.repeat(e["doc"], each)
+    w["at"] = np.repeat(e["at"] - first, each) + at
+    return w
 
 
-def bitmap(part: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the places of all kind-2 entries; ``bits`` bounds it, and the
-    driver gets its non-zero blocks, each merged on the executors first."""
-    block = min(bits, 1 << 19)
+def _place(e: np.ndarray) -> np.ndarray:
+    return e["doc"].astype(_U) * _U(0x9E3779B97F4A7C15) + e["at"].astype(_U)
 
-    def mark(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for f in frames:
-            for body in f.column("body"):
-                e = entries(body.as_py())
-                b = _bit(e["doc"], e["at"], bits)
-                np.bitwise_or.at(own, (b >> _U(3)).astype(np.int64), (_U(1) << (b & _U(7))).astype(np.uint8))
-        blocks = own.reshape(-1, block // 8)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for at in range(0, len(used), 64):
-            some = used[at:at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "body"])
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        body = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["body"]])
-        return pd.DataFrame({"block": [key[0]], "body": [body.tobytes()]})
+def _gram(e: np.ndarray) -> np.ndarray:
+    return (e["code"] >> _U(32)) * _U(0xC2B2AE3D27D4EB4F) + e["slot"].astype(_U)
 
-    out = np.zeros((bits // block, block // 8), np.uint8)
-    marks = part.select("body").coalesce(64).mapInArrow(mark, "block int, body binary")
-    for r in marks.groupBy("block").applyInPandas(merge, "block int, body binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["body"], np.uint8)
-    return out.reshape(-1)
 
+def taken(key):
+    """Bitmap keys of all entries of a batch of bodies."""
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        found = [key(entries(body.as_py())) for body in batch.column("body")]
+        return np.concatenate(found) if found else np.zeros(0, _U)
+    return keys
+
+
+def single_windows(n: int, length: int, q: int, places, hot_grams):
+    """The marked contexts: their bytes by q-gram, or their windows if hot."""
+    def send(contexts: list, text: list, windows: list) -> pa.RecordBatch:
+        first, again = _split(np.concatenate([np.empty(0, ENTRY), *windows]))
+        c = np.concatenate([np.empty(0, ENTRY), *contexts])
+        return _rows(again, length, n, (CONTEXT, c["slot"], c, text), (WINDOW, _spread(first, n), first))
 
-def single_windows(n: int, length: int, q: int, shared, bits: int):
-    """Entries of single windows of the marked contexts, as sorted arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.frombuffer(shared.value, np.uint8)
+        marked, hot_marked = np.frombuffer(places.value, np.uint8), np.frombuffer(hot_grams.value, np.uint8)
+        contexts, text, windows, held = [], [], [], 0
         for batch in batches:
-            found = []
-            for e, spans, first in _scan(batch, length, q):
-                b = _bit(e["doc"], e["at"], bits)
-                hit = (marked[(b >> _U(3)).astype(np.int64)] >> (b & _U(7)).astype(np.uint8)) & 1 == 1
-                if not hit.any():
-                    continue
-                e, first = e[hit], first[hit]
-                each = e["n"].astype(np.int64) + 1
-                at = ragged(first, each)
-                w = np.zeros(len(at), ENTRY)
-                w["code"], w["doc"] = spans.of(at, at + length), np.repeat(e["doc"], each)
-                w["at"] = np.repeat(e["at"] - first, each) + at
-                found.append(_split(w))
-            if found:
-                first, again = _split(np.concatenate([x for x, _ in found]))
-                yield _rows(np.concatenate([again, *(x for _, x in found)]), first, 1, n, length)
+            for e, data, spans, first in _scan(batch, length, q, n):
+                hit = contains(marked, _place(e))
+                hot = hit & contains(hot_marked, _gram(e))
+                cold = np.flatnonzero(hit & ~hot)
+                contexts.append(e[cold])
+                text += [data[a:b].tobytes() for a, b in zip(first[cold], first[cold] + e["n"][cold] + length)]
+                if hot.any():
+                    windows.append(_split(_windows(e[hot], data, first[hot], length, spans)))
+                    yield _rows(windows[-1][1], length, n)
+                    windows[-1] = windows[-1][0]
+                held += 8 * len(cold) + (len(windows[-1]) if hot.any() else 0)
+                if held >= FLUSH:
+                    yield send(contexts, text, windows)
+                    contexts, text, windows, held = [], [], [], 0
+        if held:
+            yield send(contexts, text, windows)
     return run
 
 
@@ -298,6 +378,10 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _entries(bodies: DataFrame) -> int:
+    return int(bodies.agg(F.sum(F.length("body"))).first()[0] or 0) // ENTRY.itemsize
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed,
     n_spans and ``kept``, the bytes that stay."""
@@ -305,16 +389,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> Dat
     docs = versioned(text_rows(docs))
     n = buckets(spark, text_bytes(docs) // 2)
     arrays = docs.mapInArrow(batch_arrays(n, length, q), MOVED)
-    first = written(arrays.groupBy("bucket").applyInArrow(merge_bucket(length, n, False), MOVED), "suffix-levels")
-    fine = first.filter("kind = 2")
-    places = int(fine.agg(F.sum(F.length("body"))).first()[0] or 0) // ENTRY.itemsize
-    parts = [first.filter("kind = 0")]
+    first = written(arrays.groupBy("bucket").applyInArrow(merge_bucket(length, n), MOVED), "suffix-levels")
+    fine, hot = (first.filter(F.col("kind").isin(kinds)).select("body") for kinds in ([FINE, FINE_HOT], [FINE_HOT]))
+    parts = [first.filter(F.col("kind") == GONE)]
+    places = _entries(fine)
     if places:
-        bits = min(BITMAP_BITS, 1 << (16 * places).bit_length())
-        bits = max(bits, 1 << 10)
-        shared = spark.sparkContext.broadcast(bitmap(fine, bits).tobytes())
-        windows = docs.mapInArrow(single_windows(n, length, q, shared, bits), MOVED)
-        parts.append(windows.groupBy("bucket").applyInArrow(merge_bucket(length, n, True), MOVED).filter("kind = 0"))
+        marks = (bitmap(fine, taken(_place), bits_for(places)), bitmap(hot, taken(_gram), bits_for(_entries(hot))))
+        windows = docs.mapInArrow(single_windows(n, length, q, *map(spark.sparkContext.broadcast, marks)), MOVED)
+        parts.append(windows.groupBy("bucket").applyInArrow(merge_windows(length, n), MOVED))
     gone = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     gone = gone.groupBy("doc_id").agg(F.collect_list("body").alias("gone"))
     out = docs.join(gone, "doc_id", "left").select("doc_id", "version", "text", "gone")

@@ -86,3 +86,11 @@ def test_levels_grow_geometrically(sizes):
     again = np.zeros(3, ENTRY)
     again["code"], again["doc"] = [0, 1, at - 1], 10**6
     assert len(family.add(again)) == 3
+
+
+def test_hot_line_with_different_neighbours(spark):
+    rnd = random.Random(8)
+    line = "All of this may be used by anybody who reads it and who passes it on to others, without any fee at all."
+    rows = [(d, "".join(rnd.choice("abcdefg hij") for _ in range(rnd.randrange(150))) + line + "".join(rnd.choice("abcdefg hij") for _ in range(rnd.randrange(150)))) for d in range(500)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
+    assert got(remove_repeats(df)) == brute(rows, 100)
