@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, suffix_dedup
+from . import jaccard_join, simple8b, suffix_dedup, token_counts
 
-MODULES = [jaccard_join, suffix_dedup]
+MODULES = [jaccard_join, token_counts, suffix_dedup, simple8b]
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
