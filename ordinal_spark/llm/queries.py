@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import block_ann, jaccard_join, simple8b, suffix_dedup, token_counts
+from . import attention_mil, block_ann, jaccard_join, language_filters, pii_bootstrap, simple8b, suffix_dedup, token_counts
 
-MODULES = [block_ann, jaccard_join, token_counts, suffix_dedup, simple8b]
+MODULES = [block_ann, jaccard_join, pii_bootstrap, token_counts, suffix_dedup, attention_mil, language_filters, simple8b]
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
