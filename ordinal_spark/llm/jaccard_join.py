@@ -18,12 +18,15 @@ elements. PartEnum makes this a search for equal signatures:
 * Sets of under 32 shingles, and the rare ones with p <= k, sign every shingle
   by itself (the finest partition), for which p > k always holds.
 
-Equal sets count once throughout. Within the sets of one signature not all
-pairs are made: all are compared with one pivot, and only signatures whose
-sets do not yet form one component go on with 8, 64, ... pivots, comparing
-across components. This ends with every pair of a signature linked, compared,
-excluded by size or already connected, so no link between components is lost.
-Comparisons are exact intersections of the sets.
+Equal sets count once throughout. Sets that share a used signature, directly or
+over others, form a candidate group. Groups of up to ``BLOCK`` sets are solved
+where they meet: one product of their shingle matrix gives all intersections
+exactly. Larger groups are cut into blocks. Every block is first compared with
+one of them, which connects what is well connected; then only sets outside a
+group's largest component so far are compared, in blocks, with all others. So
+every pair that shares a signature is compared or already connected, no pairs
+are written out, and a group of many near copies costs in proportion to its
+size.
 
 A signature that a batch holds more than 32 times goes straight to the sets
 that hold it, and its bucket gets only a mark, so no bucket or task gathers a
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bitmap import bitmap, bits_for, contains
 from .components import components
@@ -50,13 +53,14 @@ from .text import LOWER, Spans, chunks, flat, mix, word_spans
 WORDS, NUM, DEN = 5, 75, 100
 SMALL, FINEST = 32, 60
 HOT_IN_BATCH, MARK = 32, 255
+BLOCK = 64                    # sets of a group that are compared in one task
 MANY = np.uint32(0xFFFFFFFF)
 SIG_BITS = np.uint64(40)
 _U = np.uint64
 _C = mix(np.arange(1, 65, dtype=_U))
 MOVED = "kind byte, bucket int, body binary"
 DOCS, SIGNED, SHARED = 0, 1, 2
-DOC = np.dtype([("doc", "<i8"), ("null", "<u1"), ("n", "<i8"), ("key", "<u8"), ("p1", "<i4"), ("p2", "<i4")])
+DOC = np.dtype([("doc", "<i8"), ("null", "<u1"), ("h", "<i8"), ("n", "<i8"), ("key", "<u8"), ("p1", "<i4"), ("p2", "<i4")])
 SIG = np.dtype([("sig", "<u8"), ("key", "<u8"), ("count", "<u4"), ("e", "<u1")])
 
 
@@ -165,13 +169,14 @@ def sign(buckets_: int, words: int, num: int, den: int):
             ids = batch.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            hashes = batch.column("h").to_numpy(zero_copy_only=False)
             docs, sigs, owners, keys, es = [], [], [], [], []
             known = 0
             for a, b in chunks(offsets):
                 value, n = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words)
                 key = set_keys(value, n)
                 d = np.zeros(b - a, DOC)
-                d["doc"], d["null"], d["n"], d["key"] = ids[a:b], null[a:b], n, key
+                d["doc"], d["null"], d["h"], d["n"], d["key"] = ids[a:b], null[a:b], hashes[a:b], n, key
                 new = np.zeros(b - a, bool)
                 for i, k in enumerate(key.tolist()):
                     if k and k not in signed:
@@ -289,8 +294,8 @@ def prefix_bucket(num: int, den: int):
     """Of each set of a bucket, the shared signatures among its first k + 1."""
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
-        names = ["sig", "key", "n"]
-        nothing = pa.table([pa.array([], pa.int64())] * 3, names=names)
+        names = ["sig", "key"]
+        nothing = pa.table([pa.array([], pa.int64())] * 2, names=names)
         if not (kinds == SHARED).any():
             return nothing
         take = lambda kind, dtype: np.concatenate([_records(x.as_py(), dtype) for x in table.filter(pa.array(kinds == kind)).column("body")])
@@ -309,8 +314,8 @@ def prefix_bucket(num: int, den: int):
         p = np.where(e == band(one["n"]), one["p1"], np.where(e == band(one["n"] * den // num), one["p2"], one["n"]))
         left = spoiled(one["n"], num, den) + 1 - (p - each)
         keep = np.arange(len(rows)) - np.repeat(at, each) < np.repeat(left, each)
-        rows, d = rows[keep], d[keep]
-        return pa.table([rows["sig"].astype(np.int64), rows["key"].astype(np.int64), d["n"]], names=names)
+        rows = rows[keep]
+        return pa.table([rows["sig"].astype(np.int64), rows["key"].astype(np.int64)], names=names)
     return run
 
 
@@ -336,77 +341,184 @@ def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for body in batch.column("body"):
             d = _records(body.as_py(), DOC)
-            yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=d["null"] == 1), pa.array(d["n"]), pa.array(d["key"].astype(np.int64))],
-                                             names=["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(d["doc"], mask=d["null"] == 1), pa.array(d["h"]), pa.array(d["n"]), pa.array(d["key"].astype(np.int64))],
+                                             names=["doc_id", "h", "n_shingles", "key"])
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of sets (sorted distinct arrays)."""
+    both = a if b is None else a + b
+    value, owner = np.concatenate(both), np.repeat(np.arange(len(both)), [len(x) for x in both])
+    by = np.argsort(value, kind="stable")
+    value, owner = value[by], owner[by]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    column = np.cumsum(new) - 1
+    several = np.bincount(column) > 1  # others intersect nothing
+    keep = several[column]
+    column, owner = (np.cumsum(several) - 1)[column[keep]], owner[keep]
+    n, width = len(a), 4096
+    out = np.zeros((n, n if b is None else len(b)), np.float64)
+    cuts = np.searchsorted(column, np.arange(0, int(several.sum()) + width, width))
+    for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if y > x:
+            m = np.zeros((len(both), width), np.float32)
+            m[owner[x:y], column[x:y] - i * width] = 1
+            out += m[:n] @ (m if b is None else m[n:]).T
+    return out.astype(np.int64)
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    common = intersections(a, b)
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in (a if b is None else b)])
+    return den * common >= num * (na[:, None] + nb - common)
+
+
+def smallest_reachable(link: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric link matrix the smallest it reaches."""
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label, len(link)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    x = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(x, "b").join(y, "a").filter(den * common >= num * union).select("a", "b")
+def _table(keys: list, linked_to: list) -> pa.Table:
+    return pa.table([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.concatenate(linked_to) if linked_to else np.zeros(0, np.int64))], names=["a", "b"])
 
 
-def _linkable(num: int, den: int):
-    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))
+def solve_groups(num: int, den: int):
+    """Rows (key, component, shingles) of whole groups: links that connect."""
+    def run(table: pa.Table) -> pa.Table:
+        key, group = table.column("key").to_numpy(), table.column("component").to_numpy()
+        by = np.lexsort((key, group))
+        by = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])]  # copies of a set
+        at = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
+        shingles = table.column("shingles").combine_chunks()
+        out = [], []
+        for i, j in zip(at, np.append(at[1:], len(by))):
+            if j - i > 1:
+                sets = [shingles[int(r)].values.to_numpy() for r in by[i:j]]
+                low = smallest_reachable(linked(sets, None, num, den))
+                far = np.flatnonzero(low != np.arange(j - i))
+                out[0].append(key[by[i:j]][far]), out[1].append(key[by[i:j]][low[far]])
+        return _table(*out)
+    return run
 
 
-def link_sets(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect every component of linkable sets. ``members``:
-    (sig, key, n). See the module's text for the rounds."""
-    side = lambda key, n: [F.col("key").alias(key), F.col("n").alias(n)]
-    pivot = members.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("g")).filter("g > 1")
-    pairs = (members.join(pivot.select("sig", F.col("p.key").alias("a"), F.col("p.n").alias("na")), "sig")
-             .select("a", "na", *side("b", "nb")).filter(_linkable(num, den)).select("a", "b").distinct())
-    pairs = written(pairs, "pairs")
-    links = written(verified(pairs, sets, num, den), "links")
-    pivots = 1
-    while True:
-        of = components(links)
-        named = (members.join(of, "key", "left")
-                 .select("sig", "key", "n", F.coalesce("component", "key").alias("component")))
-        open_ = (named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("g"))
-                 .filter((F.col("x") != F.col("y")) & (F.col("g") > pivots)).select("sig"))
-        left = written(named.join(open_, "sig", "left_semi"), "open")
-        if left.isEmpty():
-            return links
-        pivots *= 8
-        some = (left.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("key")))
-                .filter(F.col("r") <= pivots).select("sig", *side("a", "na"), F.col("component").alias("ca")))
-        more = (left.select("sig", *side("b", "nb"), F.col("component").alias("cb")).join(some, "sig")
-                .filter(_linkable(num, den) & (F.col("ca") != F.col("cb")))
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(pairs, ["a", "b"], "left_anti"))
-        more = written(more, "pairs")
-        pairs = pairs.union(more)
-        links = links.union(written(verified(more, sets, num, den), "links"))
+def pack_sets(name: tuple, table: pa.Table) -> pa.Table:
+    """One block: its distinct keys and their sets as one cell."""
+    key = table.column("key").to_numpy()
+    _, rows = np.unique(key, return_index=True)
+    shingles = table.column("shingles").combine_chunks()
+    sets = [shingles[int(r)].values.to_numpy() for r in rows]
+    body = b"".join([np.array([len(rows), *map(len, sets)], "<i8").tobytes(), key[rows].astype("<i8").tobytes(), *(x.astype("<i8").tobytes() for x in sets)])
+    return pa.table([pa.array([name[0].as_py()]), pa.array([name[1].as_py()], pa.int32()), pa.array([body], pa.binary())], names=["component", "block", "body"])
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = int(np.frombuffer(body, "<i8", 1)[0])
+    sizes = np.frombuffer(body, "<i8", n, 8)
+    at = np.cumsum(sizes) - sizes
+    values = np.frombuffer(body, "<i8", offset=8 + 16 * n)
+    return np.frombuffer(body, "<i8", n, 8 + 8 * n), [values[i:i + m] for i, m in zip(at, sizes)]
+
+
+def solve_tiles(num: int, den: int):
+    """Rows (x, y) of two blocks each: links that connect what links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                (ka, a), (kb, b) = _unpacked(x.as_py()), _unpacked(y.as_py())
+                key = np.concatenate([ka, kb])
+                link = np.zeros((len(key), len(key)), bool)
+                link[:len(ka), len(ka):] = linked(a, b, num, den)
+                link |= link.T
+                low = smallest_reachable(link)
+                far = np.flatnonzero((low != np.arange(len(key))) & (key != key[low]))
+                yield _table([key[far]], [key[low[far]]]).combine_chunks().to_batches()[0] if len(far) else pa.RecordBatch.from_pylist([], _table([], []).schema)
+    return run
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """Blocks of about ``BLOCK`` sets from (key, component, size, shingles)."""
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")
+    return sets.select("component", block, "key", "shingles").groupBy("component", "block").applyInArrow(pack_sets, "component long, block int, body binary")
+
+
+def _tiles(wanted: DataFrame, left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within the tiles (component, i, j) of left and right blocks."""
+    tiles = (wanted.join(left.select("component", F.col("block").alias("i"), F.col("body").alias("x")), ["component", "i"])
+             .join(right.select("component", F.col("block").alias("j"), F.col("body").alias("y")), ["component", "j"]))
+    return tiles.select("x", "y").mapInArrow(solve_tiles(num, den), "a long, b long")
+
+
+def link_sets(docs: DataFrame, members: DataFrame, n: int, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect every component of linkable sets, from
+    ``members`` (sig, key): the sets of each used signature."""
+    spark = docs.sparkSession
+    pivot = members.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a != z").select("sig", "a")
+    near = written(members.join(pivot, "sig").filter("key != a").select("a", F.col("key").alias("b")).distinct(), "near")
+    groups = components(near)
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    groups = written(groups.join(sizes, "component"), "groups")
+    marks = spark.sparkContext.broadcast(bitmap(groups.select("key"), _keys, bits_for(groups.count())))
+    sets = docs.mapInArrow(sets_of(marks, words), "key long, shingles array<long>")
+    sets = written(sets.join(groups, "key"), "sets")
+    small = sets.filter(F.col("size") <= BLOCK).withColumn("slot", F.pmod(F.xxhash64("component"), F.lit(n)))
+    links = written(small.groupBy("slot").applyInArrow(solve_groups(num, den), "a long, b long"), "links")
+    large = sets.filter(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return links
+    blocks = written(_blocks(large), "blocks")
+    numbers = blocks.select("component", "block")
+    links = links.union(written(_tiles(numbers.select("component", F.lit(0).alias("i"), F.col("block").alias("j")), blocks, blocks, num, den), "links"))
+    # what the first block did not connect to the largest component of its group
+    of = large.select("key", "component").distinct().join(components(links).select("key", F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    most = of.groupBy("component", "c").agg(F.count("*").alias("m")).groupBy("component").agg(F.max(F.struct("m", "c")).alias("x")).select("component", F.col("x.c").alias("c"))
+    rest = written(of.join(most, ["component", "c"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return links
+    sizes = rest.groupBy("component").agg(F.count("*").alias("size"))
+    apart = written(_blocks(large.drop("size").join(rest.select("key"), "key", "left_semi").join(sizes, "component")), "rest-blocks")
+    wanted = apart.select("component", F.col("block").alias("i")).join(numbers.select("component", F.col("block").alias("j")), "component")
+    return links.union(written(_tiles(wanted, apart, blocks, num, den), "links"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, h, component) for every row of
+    ``docs``. ``h``: xxhash64 of the text; ``component`` names the component
+    even where rows share ids (null for empty sets)."""
     spark = docs.sparkSession
-    docs = text_rows(docs)
+    docs = text_rows(docs).withColumn("h", F.xxhash64("text"))
     n = buckets(spark, text_bytes(docs))
     signed = docs.mapInArrow(sign(n, words, num, den), MOVED).groupBy("bucket").applyInArrow(count_bucket(n), MOVED)
     signed = written(signed, "signatures")
-    rows = signed.filter(F.col("kind") == DOCS).select("body").mapInArrow(document_rows, "doc_id long, n_shingles long, key long")
-    members = written(signed.groupBy("bucket").applyInArrow(prefix_bucket(num, den), "sig long, key long, n long"), "members")
-    distinct = members.select("key").distinct().count()
-    names = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
-    if distinct:
-        marks = spark.sparkContext.broadcast(bitmap(members.select("key"), _keys, bits_for(distinct)))
-        sets = written(docs.mapInArrow(sets_of(marks, words), "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
-        of = components(link_sets(members, sets, num, den))
-        names = names.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
-        names = names.join(lowest, "component").select("key", "component_id")
-    else:
-        names = names.withColumnRenamed("low", "component_id")
-    names = names.filter("key != 0")
+    rows = signed.filter(F.col("kind") == DOCS).select("body").mapInArrow(document_rows, "doc_id long, h long, n_shingles long, key long")
+    members = written(signed.groupBy("bucket").applyInArrow(prefix_bucket(num, den), "sig long, key long"), "members")
+    names = rows.filter("key != 0").groupBy("key").agg(F.min("doc_id").alias("low"))
+    of = components(link_sets(docs, members, n, words, num, den)).withColumnRenamed("component", "linked")
+    names = names.join(of, "key", "left").withColumn("component", F.coalesce("linked", "key"))
+    lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
+    names = names.join(lowest, "component").select("key", "component", "component_id")
     return (rows.join(names, "key", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h", "component"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near duplicates:
+    of each component the row with the smallest doc_id stays (nulls last, then
+    by text hash), and of rows equal in both one. Blank texts all stay."""
+    last = F.lit((1 << 63) - 1)
+    found = jaccard_components(docs, **how).filter("component is not null")
+    stay = (found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("i"), "h")).alias("x"))
+            .select(F.col("x.i").alias("_i"), F.col("x.h").alias("_h")))
+    text = F.col("text").cast("string")
+    blank = F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    keyed = docs.filter(~blank).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_h", F.xxhash64(text))
+    kept = keyed.join(stay, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.filter(blank))
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
@@ -414,7 +526,7 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def op2_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op2_partenum_jaccard": op2_partenum_jaccard}

@@ -108,3 +108,12 @@ def test_bounds_hold_for_all_small_sizes():
             assert differ <= min(spoiled(np.array([a, b]), 75, 100))
             bands = {int(band(np.array([x]))[0]) for x in (a, a * 100 // 75)}
             assert int(band(np.array([b]))[0]) in bands
+
+
+def test_tiles_of_a_group(spark, monkeypatch):
+    from ordinal_spark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rows = corpus(4, 25, 40)
+    df = spark.createDataFrame([(d, t, "k") for d, t in rows], SCHEMA).repartition(3)
+    assert got(jaccard_components(df)) == brute(rows)
