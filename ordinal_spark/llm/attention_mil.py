@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .frames import documents, text_rows
 from .text import LOWER, Spans, chunks, flat, mix, word_spans
@@ -184,7 +184,7 @@ def _scored(weights):
             for a, b in chunks(offsets):
                 part = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 scores.append(forward(m, *encode_passages(*part))[0] if m else np.full(b - a, 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, "_score"])
     return run
 
 
@@ -195,12 +195,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_documents: int = MAX_DOCUMENTS,
                     epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, text, score) for every row of ``docs``, from the labels of the
-    documents outside fold 0."""
-    docs = text_rows(docs)
+    """``docs`` (doc_id, text and any others) with _score, from the labels of
+    the documents outside fold 0."""
     labels = labels.filter(fold(F.col("doc_id"), folds) != 0)
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_documents, epochs))
-    return docs.mapInArrow(_scored(weights), "doc_id long, text string, score double")
+    weights = docs.sparkSession.sparkContext.broadcast(train(text_rows(docs), labels, max_documents, epochs))
+    return docs.mapInArrow(_scored(weights), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +207,7 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(documents(spark, sf_dir), quality_labels(spark, sf_dir))
+    out = score_documents(text_rows(documents(spark, sf_dir)), quality_labels(spark, sf_dir)).withColumnRenamed("_score", "score")
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 

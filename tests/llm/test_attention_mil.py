@@ -62,9 +62,9 @@ def test_edges(spark):
                                  + [(None, "no id", None, None), (1000, None, None, None), (1000, "", None, None), (1001, " ", None, None)], SCHEMA)
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)] + [(5, None), (None, 1)], "doc_id long, label int")
     got = score_documents(docs, labels, max_documents=200, epochs=15).collect()
-    assert len(got) == 304 and all(0 <= r["score"] <= 1 for r in got)
-    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 300]) > 0.97
+    assert len(got) == 304 and all(0 <= r["_score"] <= 1 for r in got)
+    assert np.mean([(r["_score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 300]) > 0.97
     none = score_documents(docs, labels.limit(0)).collect()
-    assert {r["score"] for r in none} == {0.5}
+    assert {r["_score"] for r in none} == {0.5}
     assert score_documents(docs.limit(0), labels, epochs=1).count() == 0
     assert attention_mil.train(docs.limit(0).select("doc_id", "text"), labels) is None
