@@ -50,7 +50,7 @@ FLUSH = 1 << 19               # entries that a task holds before it sends them
 SHIFT = 40                    # a place is version << 40 | byte
 HIGH = np.uint64(0xFFFFFFFF00000000)
 _U = np.uint64
-MOVED = "kind byte, bucket int, doc_id long, body binary"
+MOVED = "kind byte, bucket int, body binary"
 GONE, SUFFIX, FINE, BY_CONTEXT, FINE_HOT, CONTEXT, WINDOW = range(7)
 # n: windows after the first (MARK: the q-gram is hot); slot: the q-gram's bucket
 ENTRY = np.dtype([("code", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u1"), ("slot", "<u4")])
@@ -98,22 +98,44 @@ def _split(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[first], e[~first]
 
 
-def _gone(e: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, begins and ends of removed bytes) of entries whose windows all go."""
-    e = e[np.lexsort((e["at"], e["doc"]))]
-    begin, end = e["at"], e["at"] + e["n"] + length
-    cut = np.flatnonzero(np.concatenate([[True], (e["doc"][1:] != e["doc"][:-1]) | (begin[1:] > end[:-1])])) if len(e) else []
-    if not len(cut):
-        return
-    doc, begin, end = e["doc"][cut], begin[cut], np.maximum.reduceat(end, cut)
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    for i, j in zip(at, np.append(at[1:], len(doc))):
-        yield int(doc[i]), np.stack([begin[i:j], end[i:j]]).tobytes()
+def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed stretches (doc, begin, end), those that meet made one."""
+    by = np.lexsort((begin, doc))
+    doc, begin, end = doc[by], begin[by], end[by]
+    if not len(doc):
+        return doc, begin, end
+    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+    far = _running_max(end, other)
+    cut = np.flatnonzero(other | np.concatenate([[True], begin[1:] > far[:-1]]))
+    return doc[cut], begin[cut], far[np.append(cut[1:], len(far)) - 1]
+
+
+def _running_max(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Running maximum that starts anew where ``new`` is set."""
+    out = x.copy()
+    at = np.flatnonzero(new)
+    width, place = 1, np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
+    while width <= (place.max() if len(place) else 0):
+        later = np.flatnonzero(place >= width)
+        out[later] = np.maximum(out[later], out[later - width])
+        width *= 2
+    return out
+
+
+def _gone(e: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed stretches of entries whose windows all go."""
+    return _joined(e["doc"], e["at"], e["at"] + e["n"] + length)
 
 
 def _rows(gone: np.ndarray, length: int, n: int, *sent: tuple) -> pa.RecordBatch:
-    """Removed bytes by document, and (kind, slots, entries[, bodies]) by slot."""
-    rows = [(GONE, -1 - (d % n), d, b) for d, b in _gone(gone, length)]
+    """Removed stretches by document, and (kind, slots, entries[, bodies]) by slot."""
+    rows, found = [], _gone(gone, length)
+    slot = found[0] % n
+    by = np.argsort(slot, kind="stable")
+    slot, found = slot[by], [x[by] for x in found]
+    at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
+    for i, j in zip(at, np.append(at[1:], len(slot)) if len(slot) else []):
+        rows.append((GONE, -1 - int(slot[i]), b"".join(x[i:j].tobytes() for x in found)))
     for kind, slot, e, *text in sent:
         by = np.argsort(slot, kind="stable")
         slot, e = slot[by], e[by]
@@ -122,11 +144,10 @@ def _rows(gone: np.ndarray, length: int, n: int, *sent: tuple) -> pa.RecordBatch
             body = columns(e[i:j])
             if text:
                 body = (j - i).tobytes() + body + b"".join(text[0][k] for k in by[i:j])
-            rows.append((kind, int(slot[i]), None, body))
-    kinds, slots, docs, bodies = zip(*rows) if rows else ((),) * 4
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(slots, pa.int32()),
-                                       pa.array(docs, pa.int64()), pa.array(bodies, pa.binary())],
-                                      names=["kind", "bucket", "doc_id", "body"])
+            rows.append((kind, int(slot[i]), body))
+    kinds, slots, bodies = zip(*rows) if rows else ((),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(slots, pa.int32()), pa.array(bodies, pa.binary())],
+                                      names=["kind", "bucket", "body"])
 
 
 def _spread(e: np.ndarray, n: int) -> np.ndarray:
@@ -351,27 +372,27 @@ def single_windows(n: int, length: int, q: int, places, hot_grams):
     return run
 
 
+def by_document(table: pa.Table) -> pa.Table:
+    """All removed stretches of a slot's documents, one row a document."""
+    parts = [np.frombuffer(x.as_py(), np.int64).reshape(3, -1) for x in table.column("body")]
+    doc, begin, end = _joined(*np.concatenate(parts, axis=1))
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    cells = [np.stack([begin[i:j], end[i:j]]).tobytes() for i, j in zip(at, np.append(at[1:], len(doc)))]
+    return pa.table([pa.array(doc[at]), pa.array(cells, pa.binary())], names=["doc_id", "gone"])
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         versions = batch.column("version").to_numpy(zero_copy_only=False)
         gone, runs, kept = [], [], []
         for i, found in enumerate(batch.column("gone")):
-            body = data[offsets[i]:offsets[i + 1]]
-            spans = [np.frombuffer(x, np.int64).reshape(2, -1) for x in found.as_py() or ()]
-            if spans:
-                begin, end = np.concatenate(spans, axis=1)
-                mine = begin >> SHIFT == versions[i]
-                begin, end = begin[mine] - (versions[i] << SHIFT), end[mine] - (versions[i] << SHIFT)
-                begin, end = (x[np.argsort(begin, kind="stable")] for x in (begin, end))
-            if not spans or not len(begin):
-                gone.append(0), runs.append(0), kept.append(body.tobytes())
-                continue
-            far = np.maximum.accumulate(end)
-            cut = np.flatnonzero(np.concatenate([[True], begin[1:] > far[:-1]]))
-            begin, end = begin[cut], far[np.append(cut[1:], len(far)) - 1]
+            body, at = data[offsets[i]:offsets[i + 1]], versions[i] << SHIFT
+            begin, end = np.frombuffer(found.as_py() or b"", np.int64).reshape(2, -1)
+            mine = begin >> SHIFT == versions[i]
+            begin, end = begin[mine] - at, end[mine] - at
             keep = zip(np.concatenate([[0], end]), np.append(begin, len(body)))
-            gone.append(int((end - begin).sum())), runs.append(len(cut))
+            gone.append(int((end - begin).sum())), runs.append(len(begin))
             kept.append(b"".join(body[a:b].tobytes() for a, b in keep))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
@@ -398,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> Dat
         windows = docs.mapInArrow(single_windows(n, length, q, *map(spark.sparkContext.broadcast, marks)), MOVED)
         parts.append(windows.groupBy("bucket").applyInArrow(merge_windows(length, n), MOVED))
     gone = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    gone = gone.groupBy("doc_id").agg(F.collect_list("body").alias("gone"))
+    gone = gone.groupBy("bucket").applyInArrow(by_document, "doc_id long, gone binary")
     out = docs.join(gone, "doc_id", "left").select("doc_id", "version", "text", "gone")
     return (out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
             .withColumn("doc_id", F.expr("nullif(doc_id, -9223372036854775808)")))
