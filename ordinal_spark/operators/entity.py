@@ -31,7 +31,7 @@ def _rank_units(units: DataFrame, s: SeveritySchema) -> DataFrame:
     """Dense rank of units inside each reference, in the original's order:
     year as text, period, then the '_'-joined field values ('nan' for null)."""
     fields = F.concat_ws("_", *[null_text(col(f)) for f in s.split_fields])
-    w = Window.partitionBy(_K).orderBy(F.col(_Y).cast("string"), F.col(_P), fields)
+    w = Window.partitionBy(_K).orderBy(null_text(F.col(_Y).cast("string")), null_text(F.col(_P)), fields)
     rk = F.dense_rank().over(w)
     new_id = F.when(rk == 1, F.col(_K)).otherwise(
         F.concat(F.col(_K), F.lit("A"), (rk - 1).cast("string")))
@@ -41,18 +41,22 @@ def _rank_units(units: DataFrame, s: SeveritySchema) -> DataFrame:
 def incident_units(df: DataFrame, s: SeveritySchema, with_aggregates: bool = False) -> DataFrame:
     """One row per incident unit with its rank ``_rk`` and new id ``ref``.
 
-    Rows whose key, year or period is null are never split (the original's
-    group-by drops them) and are left out here.
+    Rows whose key is null are never split (the original's group-by drops
+    them) and are left out here; a null year or period is a value like any
+    other and sorts as 'nan'.
     """
-    base = df.where(col(s.key).isNotNull() & col(s.year).isNotNull() & col(s.period).isNotNull())
+    base = df.where(col(s.key).isNotNull())
     g = base.groupBy(*_unit_cols(s))
     if with_aggregates:
         dt = col(s.data_type)
+        small = len(s.scores) <= 62  # a long holds them: the aggregate stays hash-based
+        bits = map_literal({t: 1 << i for i, t in enumerate(sorted(s.scores))}) if small else None
         scored = F.when(score_lookup(dt, s.scores) > 0, dt)
         st = col(s.subject_type)
         units = g.agg(
             F.count(F.lit(1)).alias("_rows"),
-            # set of scored types: bounded by the score dictionary size
+            # one bit for each scored type
+            F.bit_or(F.coalesce(F.try_element_at(bits, dt), F.lit(0).cast("long"))).alias("_types") if small else
             F.collect_set(scored).alias("_types"),
             (F.count_distinct(st) + F.max(st.isNull().cast("int"))).cast("bigint")
             .alias(s.subject_count_col),
@@ -126,9 +130,13 @@ def consolidate(df: DataFrame, s: SeveritySchema, standardise: bool = True,
     grouped aggregate with map-side combine, one rank window on units.
     """
     units = incident_units(df, s, with_aggregates=True)
-    score_map = map_literal(dict(s.scores))
-    raw = F.aggregate(F.col("_types"), F.lit(0).cast("bigint"),
-                      lambda acc, t: acc + F.try_element_at(score_map, t).cast("bigint"))
+    if len(s.scores) <= 62:
+        raw = sum(((F.shiftright("_types", i).bitwiseAND(F.lit(1).cast("long")) * F.lit(int(s.scores[t])))
+                   for i, t in enumerate(sorted(s.scores))), F.lit(0).cast("bigint")).cast("bigint")
+    else:
+        score_map = map_literal(dict(s.scores))
+        raw = F.aggregate(F.col("_types"), F.lit(0).cast("bigint"),
+                          lambda acc, t: acc + F.try_element_at(score_map, t).cast("bigint"))
     out = units.select(
         F.col(s.ref),
         raw.alias("raw_score"),

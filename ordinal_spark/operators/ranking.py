@@ -2,13 +2,15 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group
 to one task. With few groups (ordinal classes) each task holds a large share
-of the table. Here the table is range-partitioned on (g, o) instead - the
-sampler spreads even one huge group over many partitions - and the number is
-rebuilt from per-partition counts:
+of the table. The orders used here begin with an md5 text, which is uniform: its
+first three hex digits cut every group into 4,096 parts of about one size. Part
+sizes are counted (pre-aggregated), summed in order, and only a part is
+numbered in one task:
 
-    rank = rows of g in earlier partitions + position inside this partition
+    rank = rows of g in earlier parts + row number inside the part
 
-The per-(partition, group) statistics table has partitions x groups rows.
+Nothing depends on how rows lie in partitions, so a recomputed partition gets
+the same numbers.
 """
 
 from __future__ import annotations
@@ -18,44 +20,30 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+PART_DIGITS = 3
 
 
-def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str],
-                out: str = "rank", bounded_groups: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     """Exact 1-based row number of each row inside its group.
 
-    ``order`` must be a total order within a group (end it with a unique
-    key). ``bounded_groups`` declares that the group column is a closed list
-    (e.g. classes), so the statistics table (partitions x groups rows) is
-    broadcast; otherwise it is joined normally.
+    ``order`` begins with an md5 text (``hash_order``) and must be a total
+    order within a group (end it with a unique key). The table of part sizes
+    has 4,096 rows a group.
     """
-    if out in ("_pid", "_pos", "_offset", "_first") or out.startswith("_o"):
+    if out in ("_part", "_before") or out.startswith("_o"):
         raise ValueError(f"output name {out!r} is reserved")
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     names = [f"_o{i}" for i in range(len(order_cols))]
-    base = df.withColumns({n: c for n, c in zip(names, order_cols)})
-    keys = [*groups, *names]
-    if num_partitions:
-        part = base.repartitionByRange(num_partitions, *keys)
-    else:
-        part = base.repartitionByRange(*keys)
-    tagged = (part.sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    # positions must not change if a partition is recomputed after a loss
-    tagged = cut_lineage(tagged)
-    stats = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_cnt"),
-                                                 F.min("_pos").alias("_first"))
-    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    stats = stats.select("_pid", *groups, "_offset", "_first")
-    if bounded_groups:
-        stats = F.broadcast(stats)
-    joined = tagged.join(stats, ["_pid", *groups])
-    r = (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("long")
-    return joined.withColumn(out, r).drop("_pid", "_pos", "_offset", "_first", *names)
+    base = df.withColumns({n: c for n, c in zip(names, order_cols)}).withColumn("_part", F.substring("_o0", 1, PART_DIGITS))
+    sizes = base.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"),
+                         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*names))
+    same = [base[g].eqNullSafe(sizes[f"_g{i}"]) for i, g in enumerate(groups)] + [base["_part"] == sizes["_p"]]
+    joined = base.withColumn(out, inside).join(sizes, same)
+    return (joined.withColumn(out, (F.col(out) + F.col("_before")).cast("long"))
+            .drop("_part", "_p", "_before", *names, *[f"_g{i}" for i in range(len(groups))]))
 
 
 def hash_order(seed: int | str, key: str) -> Column:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import encode as enc
 from ..operators.entity import consolidate, split_references
-from ..operators.quality import domain_inventory
 from ..schema import FIXTURE_SCHEMA
 from ..sources.fixtures import incident_reports
+from . import pipelines as P
 
 S = FIXTURE_SCHEMA
 
@@ -35,27 +34,18 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(reports(spark, sf_dir), S)
 
 
-def load_levels(raw: DataFrame) -> dict[str, list[str]]:
-    """Category level lists as fixed at load time (valid values present in
-    the raw table), from the V1/V2 inventory job."""
-    cats = [c for c in S.dummies if c in S.categories]
-    inv = (domain_inventory(raw, S).where(F.col("is_valid") & F.col("column").isin(*cats))
-           .select("column", "value").collect())
-    out: dict[str, list[str]] = {c: [] for c in cats}
-    for r in inv:
-        out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+def reports_with_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports in which some references are named like the second unit of
+    another: C<n>, n = 1 mod 10, becomes C<n - 1>A1."""
+    n = F.substring(F.col(S.key), 2, 20).cast("long")
+    named = F.when(n % 10 == 1, F.concat(F.lit("C"), (n - 1).cast("string"), F.lit("A1"))).otherwise(F.col(S.key))
+    return reports(spark, sf_dir).withColumn(S.key, named)
 
 
-def clean(spark: SparkSession, sf_dir: str):
-    cons = consolidated(spark, sf_dir)
-    return enc.drop_low_share_unknowns(cons, S.incident_categories, S.unknown_labels)
+def clean(spark: SparkSession, sf_dir: str) -> P.Prepared:
+    """X1 without encoding, with the unstandardised score."""
+    return P.preprocess(reports(spark, sf_dir), S, encode=False, impute_missing=False, keep_raw_score=True)
 
 
-def encoded(spark: SparkSession, sf_dir: str):
-    raw = reports(spark, sf_dir)
-    levels = load_levels(raw)
-    cl, _ = enc.drop_low_share_unknowns(consolidate(raw, S), S.incident_categories,
-                                        S.unknown_labels)
-    out, specs = enc.encode(enc.years_since_start(cl, S), S, levels)
-    return out, specs
+def encoded(spark: SparkSession, sf_dir: str) -> P.Prepared:
+    return P.preprocess(reports(spark, sf_dir), S, impute_missing=False)

@@ -24,6 +24,9 @@ SCORE = _case_map("data_type", dict(S.scores), "0")
 UNK = "('Unknown', 'Unassigned')"
 
 INCIDENTS = f"incidents AS ({INCIDENTS_SQL})"
+COLLIDING = f"""incidents AS (SELECT * REPLACE (CASE WHEN CAST(substr(bi_reference, 2) AS BIGINT) % 10 = 1
+    THEN concat('C', CAST(substr(bi_reference, 2) AS BIGINT) - 1, 'A1') ELSE bi_reference END AS bi_reference)
+  FROM ({INCIDENTS_SQL}))"""
 FIELDKEY = "concat(decision_taken,'_',incident_type,'_',no_affected,'_',sector,'_',time_to_report)"
 RANKED = f"""ranked AS (
   SELECT *, dense_rank() OVER (PARTITION BY bi_reference

@@ -36,11 +36,9 @@ def load_levels(raw: DataFrame, s: SeveritySchema, validate: bool = True) -> dic
     and the level lists of the category columns as fixed at load."""
     inv = quality.domain_inventory(raw, s).cache()
     if validate:
-        # invalid values are unbounded: fetch at most 20 examples
-        bad = (inv.where(~F.col("is_valid")).orderBy("column", "value").limit(20).collect())
+        bad = quality.describe_violations(inv)
         if bad:
-            raise ValueError("\n".join(
-                f"Invalid values in {r['column']}: {r['value']!r} ({r['n_rows']} rows)" for r in bad))
+            raise ValueError("\n".join(bad))
     cats = [c for c in s.dummies if c in s.categories]
     valid = (inv.where(F.col("is_valid") & F.col("column").isin(*cats))
              .select("column", "value").collect())  # bounded by the declared domains
@@ -57,14 +55,28 @@ def minimal_preprocess(raw: DataFrame, s: SeveritySchema, validate: bool = True)
     return entity.split_references(raw, s)
 
 
+def check_unique(cons: DataFrame, s: SeveritySchema) -> None:
+    """V3 and Q1: raise if an incident id stands for several incidents."""
+    bad = quality.fd_violations(cons, s.ref, [s.year, s.period, *s.split_fields]).collect()
+    twice = (cons.groupBy(s.ref).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+             .agg(F.count(F.lit(1)).alias("n"), F.min(s.ref).alias("first")).first())
+    if bad or twice["n"]:
+        columns = ", ".join(f"{r['column']} ({r['n_bad_keys']} ids)" for r in bad)
+        raise ValueError(f"{twice['n']} incident ids stand for several incidents, e.g. {twice['first']!r}; varying: {columns or 'nothing else'}")
+
+
 def preprocess(raw: DataFrame, s: SeveritySchema, encode: bool = True, impute_missing: bool = True,
-               validate: bool = True, threshold: float = 0.05, pin: bool = True) -> Prepared:
-    """V1/V2 -> W1 -> A1 (+P5) -> F1 -> P6 -> P3/P2 -> I1.
+               validate: bool = True, threshold: float = 0.05, pin: bool = True,
+               handle_imbalance: bool = False, keep_raw_score: bool = False) -> Prepared:
+    """V1/V2 -> W1 -> A1 (+P5) -> V3 -> F1 -> P6 -> P3/P2 -> I1 [-> R7].
 
     ``impute_missing`` without ``encode`` is rejected (the original silently
-    did neither). Actions: the validation/level job, the F1 mask counts, the
-    dummy level check and the imputation statistics - all small results.
+    did neither), and so is ``handle_imbalance``. Actions: the
+    validation/level job, the id check, the F1 mask counts, the dummy level
+    check and the imputation statistics - all small results.
     """
+    if handle_imbalance and not encode:
+        raise ValueError("rebalancing needs encoded variables (encode=True)")
     if impute_missing and not encode:
         raise ValueError("imputation needs encoded variables (encode=True)")
     if validate:
@@ -73,9 +85,13 @@ def preprocess(raw: DataFrame, s: SeveritySchema, encode: bool = True, impute_mi
             raise ValueError(f"Missing required columns: {missing_cols}")
     levels = load_levels(raw, s, validate)
     cons = entity.consolidate(raw, s, pin=pin)
+    if validate:
+        check_unique(cons, s)
     cleaned, steps = enc.drop_low_share_unknowns(cons, s.incident_categories, s.unknown_labels,
                                                  threshold)
-    out = enc.years_since_start(cleaned, s).drop("raw_score")
+    out = enc.years_since_start(cleaned, s)
+    if not keep_raw_score:
+        out = out.drop("raw_score")
     specs: list[DummySpec] = []
     fit = None
     if encode:
@@ -83,6 +99,9 @@ def preprocess(raw: DataFrame, s: SeveritySchema, encode: bool = True, impute_mi
         if impute_missing:
             feats = [c for c in out.columns if c not in (s.ref, s.target)]
             out, fit = impute.impute_target(out, s.target, feats)
+        if handle_imbalance:
+            from ..operators.smote import rebalance
+            out = rebalance(out, s.target, s.ref, s.score_col, specs)
     return Prepared(out, specs, steps, fit)
 
 
@@ -182,7 +201,8 @@ def run_comparison(raw: DataFrame, s: SeveritySchema,
     out = {"scores": cv.scores, "summary": summ, "best_model": M.best_model(summ),
            "error_distribution": M.error_distribution(cv.predictions),
            "mean_confusion": M.mean_confusion(M.confusion(cv.predictions,
-                                                          keys=("model", "params_id", "fold")))}
+                                                          keys=("model", "params_id", "fold"))),
+           "failures": tuning.failure_table(cv, raw.sparkSession)}
     if cv.importances is not None:
         out["importance"] = tuning.importance_table(cv.importances)
     return out
@@ -209,4 +229,5 @@ def tune_all(raw: DataFrame, s: SeveritySchema, grids: Mapping[str, Mapping] | N
             "logistic_band": tuning.logistic_band(summ),
             "boosted_pivot": tuning.boosted_pivot(summ),
             "net_by_architecture": tuning.net_by_architecture(summ),
-            "confusion": conf}
+            "forest_pivot": tuning.forest_pivot(summ),
+            "confusion": conf, "mean_confusion": M.mean_confusion(conf), "failures": tuning.failure_table(cv, raw.sparkSession)}

@@ -32,8 +32,7 @@ M_BASE = ",\n".join([O.CLEAN_BASE, MBASE])
 
 def missing_base(spark, sf) -> DataFrame:
     """X3 input: X1 without encoding/imputation, then P8 on the target."""
-    cl, _ = C.clean(spark, sf)
-    return enc.unknown_indicator(enc.years_since_start(cl, S), S.target, ["Unknown"])
+    return enc.unknown_indicator(C.clean(spark, sf).data, S.target, ["Unknown"])
 
 
 def _cont_sql() -> str:
@@ -172,9 +171,9 @@ SELECT feature, round(r, 6) AS r, abs(r) > 0.1 AS strong,
 @register("point_biserial", _pb_sql())
 def q_point_biserial(spark, sf):
     """A13 + F5: r of every encoded feature with target missingness."""
-    e, _ = C.encoded(spark, sf)
-    e = e.withColumn("_ind", (F.col(S.target) == 0).cast("double"))
-    return C.round_doubles(MS.point_biserial(e, _pb_features(), "_ind"))
+    prep = C.encoded(spark, sf)
+    e = prep.data.withColumn("_ind", (F.col(S.target) == 0).cast("double"))
+    return C.round_doubles(MS.point_biserial(e, [f for f in prep.features(S) if f != S.target], "_ind"))
 
 
 # ---------------------------------------------------------------- folds + metrics
@@ -403,8 +402,7 @@ R_BASE = ",\n".join([O.CLEAN_BASE, RS_BASE])
 
 
 def labelled(spark, sf) -> DataFrame:
-    cl, _ = C.clean(spark, sf)
-    e = enc.ordinal_encode(cl, S)
+    e = enc.ordinal_encode(C.clean(spark, sf).data, S)
     return e.where(F.col(S.target) > 0).select(S.ref, F.col(S.target).alias("y"))
 
 
@@ -435,9 +433,14 @@ def q_undersample_distribution(spark, sf):
 
 
 @register("undersample_new_levels", O.with_(R_BASE) + """
-SELECT 'y' AS "column", CAST(y AS VARCHAR) AS value FROM under WHERE false""")
+SELECT DISTINCT 'all' AS against, 'y' AS "column", CAST(y AS VARCHAR) AS value FROM under
+WHERE y NOT IN (SELECT y FROM ytab)
+UNION ALL SELECT DISTINCT 'y below 5', 'y', CAST(y AS VARCHAR) FROM under
+WHERE y NOT IN (SELECT y FROM ytab WHERE y < 5)""")
 def q_undersample_new_levels(spark, sf):
-    """No level appears after resampling that was not there before."""
+    """Levels after resampling that were not there before: none against
+    all rows, the upper classes against the rows of the lower ones."""
     d = labelled(spark, sf)
     u = resample.undersample(d, "y", S.ref, resample.sampling_plan(d, "y"))
-    return quality.new_levels(u, d, ["y"])
+    found = quality.new_levels(u, d, ["y"]).withColumn("against", F.lit("all"))
+    return found.unionByName(quality.new_levels(u, d.where("y < 5"), ["y"]).withColumn("against", F.lit("y below 5")))

@@ -61,12 +61,13 @@ def q_consolidated(spark, sf):
     return C.round_doubles(C.consolidated(spark, sf))
 
 
-@register("id_collisions", O.with_(O.INCIDENTS, O.RANKED, O.SPLIT, """u AS (
+@register("id_collisions", O.with_(O.COLLIDING, O.RANKED, O.SPLIT, """u AS (
   SELECT DISTINCT ref, bi_reference, year, quarter, decision_taken, incident_type, no_affected,
          sector, time_to_report FROM split)""") + """
 SELECT ref, CAST(count(*) AS BIGINT) AS units FROM u GROUP BY ref HAVING count(*) > 1""")
 def q_id_collisions(spark, sf):
-    return entity.id_collisions(C.reports(spark, sf), S)
+    """Q1 on reports whose references collide with split-off ids."""
+    return entity.id_collisions(C.reports_with_collisions(spark, sf), S)
 
 
 def _inventory_sql() -> str:
@@ -90,14 +91,14 @@ def q_domain_inventory(spark, sf):
     return quality.domain_inventory(C.reports(spark, sf), S)
 
 
-def _fd_sql() -> str:
+def _fd_sql(chain: tuple = (O.INCIDENTS,), table: str = "incidents", key: str = "bi_reference") -> str:
     attrs = S.attributes
     per = ", ".join(f"min({a}) <> max({a}) AS b{i}" for i, a in enumerate(attrs))
     rows = " UNION ALL ".join(
         f"SELECT '{a}' AS column, CAST(count(*) FILTER (WHERE b{i}) AS BIGINT) AS n_bad_keys, "
         f"min(CASE WHEN b{i} THEN k END) AS example_key FROM per" for i, a in enumerate(attrs))
-    return O.with_(O.INCIDENTS, f"per AS (SELECT bi_reference AS k, {per} FROM incidents "
-                   f"GROUP BY bi_reference)", f"r AS ({rows})") + \
+    return O.with_(*chain, f"per AS (SELECT {key} AS k, {per} FROM {table} "
+                   f"GROUP BY {key})", f"r AS ({rows})") + \
         "\nSELECT * FROM r WHERE n_bad_keys > 0"
 
 
@@ -108,12 +109,12 @@ def q_fd_violations(spark, sf):
     return quality.fd_violations(C.reports(spark, sf), S.key, S.attributes)
 
 
-@register("fd_violations_after_split", O.with_(O.INCIDENTS, O.RANKED, O.SPLIT) + """
-SELECT 'any' AS column, CAST(0 AS BIGINT) AS n_bad_keys, 'none' AS example_key
-WHERE false""")
+@register("fd_violations_after_split", _fd_sql((O.COLLIDING, O.RANKED, O.SPLIT), "split", "ref"))
 def q_fd_after_split(spark, sf):
-    """V3 after W1: must be empty (checked by row count)."""
-    return quality.fd_violations(C.split(spark, sf), S.ref, S.attributes)
+    """V3 after W1, on reports whose references collide with split-off ids
+    (without such collisions it is empty by construction)."""
+    split = entity.split_references(C.reports_with_collisions(spark, sf), S)
+    return quality.fd_violations(split, S.ref, S.attributes)
 
 
 MULTI_SQL = O.with_(O.INCIDENTS, O.RANKED, O.SPLIT,
@@ -255,7 +256,7 @@ def _f1_sql() -> str:
 def q_unknown_filter_steps(spark, sf):
     """per category column (in order) the unknown share seen at that
     step, whether its unknown rows were dropped and the rows left."""
-    _, plan = C.clean(spark, sf)
+    plan = C.clean(spark, sf).unknown_steps
     rows = [(d.step, d.column, round(d.share, 6), d.dropped, d.rows_after) for d in plan]
     return spark.createDataFrame(
         rows, "step int, column string, share double, dropped boolean, rows_after bigint")
@@ -270,14 +271,13 @@ def _enc_cols_sql() -> str:
 @register("encoded_incidents", O.with_(O.ENC_BASE) + f"\nSELECT {_enc_cols_sql()} FROM encoded")
 def q_encoded(spark, sf):
     """X1 without imputation: W1, A1, P5, F1, P6, P3, P2."""
-    out, _ = C.encoded(spark, sf)
-    return C.round_doubles(out.drop("raw_score"))
+    return C.round_doubles(C.encoded(spark, sf).data)
 
 
 @register("dummy_roundtrip", O.with_(O.CLEAN_BASE) + """
 SELECT ref, quarter, decision_taken, incident_type, sector FROM clean""")
 def q_dummy_roundtrip(spark, sf):
     """Decoding the dummies restores the original level columns."""
-    out, specs = C.encoded(spark, sf)
-    dec = enc.dummy_decode_all(out, specs)
+    prep = C.encoded(spark, sf)
+    dec = enc.dummy_decode_all(prep.data, prep.dummies)
     return dec.select(S.ref, *S.dummies)

@@ -16,22 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned input over the cluster's cores.
-
-    A single-file, single-row-group table scans as one partition, so every
-    map-side step after it would run in one task. Only then is a round-robin
-    repartition added; inputs with enough splits (any large data set) are
-    left untouched, so no extra shuffle at scale.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw report rows (several per ``bi_reference``).
 
@@ -41,11 +25,11 @@ def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     grow with the scale factor, so the planner decides by measured size and
     AQE splits skewed keys (a customer or part holding a large share of rows).
     """
-    o = ensure_parallelism(table(spark, sf_dir, "orders").select(
+    o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-        "o_orderpriority"))
+        "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    li = ensure_parallelism(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
 
     oc = o.join(c, o.o_custkey == c.c_custkey)

@@ -1,64 +1,65 @@
-"""W1/A1 against a literal re-statement of the original's nested loop."""
+"""W1/A1 on rows worked out by hand from the splitting rules, and invariants."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import functions as F
+import pytest
 
 from conftest import SF_SMALL
 from ordinal_spark.operators import entity, quality
+from ordinal_spark.plans import pipelines as P
 from ordinal_spark.schema import FIXTURE_SCHEMA as S
 from ordinal_spark.sources.fixtures import incident_reports
 
 
-def loop_split(rows):
-    """Per reference with > 1 row: walk periods in key order; inside a period
-    with several rows and several field values, walk field values in order;
-    the first unit keeps the id, later ones get <id>A<n>."""
-    by_ref = defaultdict(list)
-    for i, r in enumerate(rows):
-        by_ref[r["bi_reference"]].append(i)
-    new = [r["bi_reference"] for r in rows]
-    for ref, idx in by_ref.items():
-        if len(idx) < 2:
-            continue
-        periods = defaultdict(list)
-        for i in idx:
-            periods[f"{ref}_{rows[i]['year']}_{rows[i]['quarter']}"].append(i)
-        nxt, first = 1, False
-        for pk in sorted(periods):
-            grp = periods[pk]
-            fv = defaultdict(list)
-            for i in grp:
-                fv["_".join(str(rows[i][f]) for f in S.split_fields)].append(i)
-            units = [fv[k] for k in sorted(fv)] if len(grp) > 1 and len(fv) > 1 else [grp]
-            for u in units:
-                if not first:
-                    first = True
-                    continue
-                for i in u:
-                    new[i] = f"{ref}A{nxt}"
-                nxt += 1
-    return new
-
-
-def test_split_equals_nested_loop(spark):
-    raw = incident_reports(spark, SF_SMALL).withColumn("_row", F.monotonically_increasing_id())
-    raw = raw.cache()
-    rows = [r.asDict() for r in raw.orderBy("_row").collect()]
-    expected = loop_split(rows)
-    # W1 output carries no row id, so attach the new ids through the unit columns
-    units = entity.incident_units(raw, S).select(
-        F.col("_key").alias("bi_reference"), F.col("_year").alias("year"),
-        F.col("_period").alias("quarter"), *S.split_fields, "ref")
-    j = raw.join(units, ["bi_reference", "year", "quarter", *S.split_fields], "left")
-    got = [r["ref"] for r in j.orderBy("_row").select("ref").collect()]
-    assert got == expected
-    assert sum(a != b["bi_reference"] for a, b in zip(expected, rows)) > 0
-    # and W1 itself returns the same multiset of ids
-    assert sorted(r["ref"] for r in entity.split_references(raw.drop("_row"), S).collect()) \
-        == sorted(expected)
+URGENT = ("F", "1-URGENT", "1 to 9", "BUILDING", "Less than 24 hours")
+OTHER = ("F", "2-HIGH", "1 to 9", "BUILDING", "Less than 24 hours")
+
+
+def report(key, year, quarter, fields, subject="s", data="d"):
+    return (key, year, quarter, subject, data, *fields)
+
+
+# (report, incident id): units of one reference are numbered by year as text,
+# then quarter, then field values; the first keeps the id. Equal units share it.
+SPLIT_CASES = [
+    (report("A", 2020, "Qtr 1", URGENT), "AA1"),
+    (report("A", 2020, "Qtr 1", URGENT, data="e"), "AA1"),
+    (report("A", 2020, "Qtr 1", OTHER), "AA2"),
+    (report("A", 2019, "Qtr 4", OTHER), "A"),
+    (report("A", 2020, "Qtr 2", URGENT), "AA3"),
+    (report("B", 2021, "Qtr 3", URGENT), "B"),
+    (report("C", 2021, "Qtr 3", URGENT), "C"),
+    (report("C", 2021, "Qtr 3", URGENT, subject="t"), "C"),
+    (report("D", None, "Qtr 1", URGENT), "DA2"),
+    (report("D", 2021, None, URGENT), "DA1"),
+    (report("D", 2021, "Qtr 2", URGENT), "D"),
+]
+
+
+def test_split_by_hand(spark):
+    df = spark.createDataFrame([r for r, _ in SPLIT_CASES], S.struct_type())
+    got = sorted(map(str, (tuple(r) for r in entity.split_references(df, S).collect())))
+    assert got == sorted(str((ref, *r[1:])) for r, ref in SPLIT_CASES)
+
+
+def test_every_unit_becomes_one_incident(spark):
+    """A null year or period does not lose an incident."""
+    df = spark.createDataFrame([r for r, _ in SPLIT_CASES], S.struct_type())
+    refs = sorted(r["ref"] for r in entity.consolidate(df, S, standardise=False).collect())
+    assert refs == sorted({ref for _, ref in SPLIT_CASES})
+
+
+def test_split_ids_on_the_fixture(spark):
+    raw = incident_reports(spark, SF_SMALL)
+    split = entity.split_references(raw, S)
+    assert split.count() == raw.count()
+    units = raw.select(S.key, S.year, S.period, *S.split_fields).distinct()
+    per = {r[0]: r[1] for r in units.groupBy(S.key).count().collect()}
+    assert max(per.values()) > 1
+    assert sorted(r[0] for r in split.select("ref").distinct().collect()) == sorted(
+        k if i == 0 else f"{k}A{i}" for k, n in per.items() for i in range(n))
 
 
 def test_consolidate_counts_and_scores(spark):
@@ -108,3 +109,10 @@ def test_collision_report(spark):
     df = spark.createDataFrame(rows, S.struct_type())
     got = [(r["ref"], r["units"]) for r in entity.id_collisions(df, S).collect()]
     assert got == [("XA1", 2)]
+
+
+def test_preprocess_raises_on_collision(spark):
+    rows = [report("X", 2020, "Qtr 1", URGENT), report("X", 2021, "Qtr 1", URGENT), report("XA1", 2020, "Qtr 1", URGENT)]
+    df = spark.createDataFrame([(*r[:3], "Brand#11", "STANDARD ANODIZED TIN", *r[5:]) for r in rows], S.struct_type())
+    with pytest.raises(ValueError, match="1 incident ids stand for several incidents, e.g. 'XA1'.*year"):
+        P.preprocess(df, S, encode=False, impute_missing=False)

@@ -1,11 +1,10 @@
-"""Metrics against direct formulas; fold and rank invariants."""
+"""Metrics on a table worked out by hand; fold and rank invariants."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+from collections import Counter
 
-import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,57 +14,20 @@ from ordinal_spark.operators.ranking import assign_folds, hash_order, rank_withi
 from ordinal_spark.plans.q_analysis import pseudo_predictions, pseudo_train_counts
 
 
-def cem_direct(y_true, y_pred, counts):
-    n = len(counts)
-    N = counts.sum()
-    prox = np.zeros((n, n))
-    for i in range(n):
-        for j in range(n):
-            lo, hi = (i, j) if i <= j else (j, i)
-            prox[i, j] = -np.log2(counts[lo] / (2 * N) + counts[lo + 1:hi + 1].sum() / N)
-    num = sum(prox[t - 1, p - 1] for t, p in zip(y_true, y_pred))
-    den = sum(prox[t - 1, t - 1] for t in y_true)
-    return num / den
-
-
-def weights_direct(y_train):
-    counts = np.bincount(np.asarray(y_train))[1:]
-    w = len(y_train) / (len(counts) * counts)
-    return w * (len(counts) / w.sum())
-
-
-def test_fold_scores_match_direct(spark):
-    pred = pseudo_predictions(spark, SF_SMALL).cache()
-    tc = pseudo_train_counts(pred)
-    scores = {(r["model"], r["fold"]): r for r in M.fold_scores(pred, tc).collect()}
-    rows = pred.collect()
-    by = defaultdict(list)
-    for r in rows:
-        by[(r["model"], r["fold"])].append(r)
-    for key, rs in by.items():
-        model, fold = key
-        train = [r["y_true"] for r in rows if r["model"] == model and r["fold"] != fold]
-        counts = np.bincount(train, minlength=7)[1:]
-        yt = [r["y_true"] for r in rs]
-        yp = [r["y_pred"] for r in rs]
-        w = weights_direct(train)
-        s = scores[key]
-        assert math.isclose(s["mae"], np.mean(np.abs(np.subtract(yt, yp))), rel_tol=1e-12)
-        assert math.isclose(s["accuracy"], np.mean(np.equal(yt, yp)), rel_tol=1e-12)
-        assert math.isclose(s["weighted_mae"],
-                            np.mean(np.abs(np.subtract(yt, yp)) * w[np.asarray(yt) - 1]),
-                            rel_tol=1e-9)
-        assert math.isclose(s["cem"], cem_direct(yt, yp, counts), rel_tol=1e-9)
-        # weighted F1 from its definition
-        labels = sorted(set(yt) | set(yp))
-        sup = Counter(yt)
-        f1w = 0.0
-        for c in labels:
-            tp = sum(1 for a, b in zip(yt, yp) if a == b == c)
-            pc = sum(1 for b in yp if b == c)
-            f1 = 2 * tp / (sup[c] + pc) if sup[c] + pc else 0.0
-            f1w += f1 * sup[c]
-        assert math.isclose(s["f1_weighted"], f1w / len(yt), rel_tol=1e-9)
+def test_scores_by_hand(spark):
+    """Training counts 4, 2, 2; four predictions. Worked out on paper:
+    weights 0.6, 1.2, 1.2; proximities prox(1,1) = 2, prox(2,2) = prox(3,3) = 3,
+    prox(1,2) = 1, prox(2,3) = -log2(3/8)."""
+    tc = spark.createDataFrame([("m", 0, 1, 4), ("m", 0, 2, 2), ("m", 0, 3, 2)], "model string, fold int, class int, n bigint")
+    pred = spark.createDataFrame([("m", 0, "test", t, p) for t, p in ((1, 1), (2, 1), (3, 3), (2, 3))],
+                                 "model string, fold int, split string, y_true int, y_pred int")
+    weights = {r["class"]: r["weight"] for r in M.class_weights(tc).collect()}
+    assert weights == pytest.approx({1: 0.6, 2: 1.2, 3: 1.2})
+    s = M.fold_scores(pred, tc).first()
+    assert s["mae"] == pytest.approx(0.5) and s["accuracy"] == pytest.approx(0.5)
+    assert s["weighted_mae"] == pytest.approx(0.6)
+    assert s["cem"] == pytest.approx(7.4150374992788 / 11)
+    assert s["f1_weighted"] == pytest.approx(1 / 3)
 
 
 def test_perfect_prediction(spark):
@@ -98,7 +60,7 @@ def test_folds_stratified(spark):
 def test_rank_within_equals_row_number(spark):
     df = spark.range(0, 3000).select(F.col("id").cast("string").alias("key"),
                                      (F.col("id") % 3).cast("int").alias("g"))
-    got = rank_within(df, ["g"], [hash_order(7, "key"), "key"], out="r", num_partitions=5)
+    got = rank_within(df, ["g"], [hash_order(7, "key"), "key"], out="r")
     w = Window.partitionBy("g").orderBy(hash_order(7, "key"), "key")
     ref = df.withColumn("r", F.row_number().over(w))
     a = {(r["key"], r["r"]) for r in got.collect()}

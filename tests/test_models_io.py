@@ -129,3 +129,56 @@ def test_permutation_importance_finds_signal(spark, separable):
     imp = {r["feature"]: r["importance"] for r in tuning.permutation_importance(
         m, separable, "key", "y", ["x1", "x2"]).collect()}
     assert imp["x1"] > 0.5 and abs(imp["x2"]) < imp["x1"] / 5
+
+
+def _csv(tmp_path, header, row):
+    p = tmp_path / "reports.csv"
+    p.write_text(",".join(header) + "\n" + ",".join(row) + "\n")
+    return str(p)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    names = list(S.raw_columns)
+    values = {n: f"v{i}" for i, n in enumerate(names)} | {S.year: "2020", S.period: "None"}
+    header = ["extra", *reversed(names)]
+    r = load_reports(spark, _csv(tmp_path, header, ["z", *(values[n] for n in reversed(names))]), S).first().asDict()
+    assert r == {n: v for n, v in values.items()} | {S.year: 2020, S.period: None}
+
+
+def test_csv_missing_column_raises(spark, tmp_path):
+    names = [n for n in S.raw_columns if n != "sector"]
+    with pytest.raises(ValueError, match="sector"):
+        load_reports(spark, _csv(tmp_path, names, ["2020"] * len(names)), S)
+
+
+@pytest.mark.parametrize("cls,params", [
+    (OrderedForest, {"n_estimators": 10, "min_samples_leaf": 5, "max_features": 2}),
+    (BoostedOrdinal, {"iterations": 10, "depth": 3}),
+    (ConditionalOrdinalNet, {"hidden_layer_sizes": (8,), "epochs": 60}),
+])
+def test_probabilities(separable, cls, params):
+    m = cls(["x1", "x2"], label="y", classes=[1, 2, 3, 4], **params).fit(separable)
+    for r in m.predict(separable, probabilities=True).select("prediction", "probabilities").collect():
+        p = r["probabilities"]
+        assert all(-1e-12 <= x <= 1 + 1e-12 for x in p)
+        if cls is ConditionalOrdinalNet:  # chained P(y > k) never rises
+            assert len(p) == 3 and all(a >= b - 1e-12 for a, b in zip(p, p[1:]))
+            assert r["prediction"] == 1 + sum(x > 0.5 for x in p)
+        else:
+            assert len(p) == 4 and abs(sum(p) - 1) < 1e-9 and p[r["prediction"] - 1] == max(p)
+
+
+def test_boosting_on_points_equals_boosting_on_rows():
+    import numpy as np
+
+    from ordinal_spark.models.boosting import boost, log_odds
+
+    rnd = np.random.default_rng(1)
+    x = rnd.integers(0, 3, (400, 3)).astype(float)
+    y = (x[:, 0] + rnd.normal(0, 1, 400) > 1).astype(float)
+    points, back = np.unique(x, axis=0, return_inverse=True)
+    n = np.bincount(back.ravel()).astype(float)
+    a = boost(x, y, np.ones(400), 30, 0.1, 3, 6.0)
+    b = boost(points, np.bincount(back.ravel(), y) / n, n, 30, 0.1, 3, 6.0)
+    assert np.allclose(log_odds(a, points), log_odds(b, points), atol=1e-4)
+    assert np.mean((log_odds(b, x) > 0) == y) > 0.75
