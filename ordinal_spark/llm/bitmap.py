@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,12 +43,12 @@ def bitmap(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: in
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())],
                                              names=["block", "body"])
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        body = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["body"]])
-        return pd.DataFrame({"block": [key[0]], "body": [body.tobytes()]})
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        body = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("body")])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([body.tobytes()], pa.binary())], names=["block", "body"])
 
     out = np.zeros((bits // block, block // 8), np.uint8)
     marks = df.coalesce(MAKERS).mapInArrow(mark, "block int, body binary")
-    for r in marks.groupBy("block").applyInPandas(merge, "block int, body binary").toLocalIterator():
+    for r in marks.groupBy("block").applyInArrow(merge, "block int, body binary").toLocalIterator():
         out[r["block"]] = np.frombuffer(r["body"], np.uint8)
     return out.tobytes()

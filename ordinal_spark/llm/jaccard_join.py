@@ -53,6 +53,9 @@ from .text import LOWER, Spans, chunks, flat, mix, word_spans
 WORDS, NUM, DEN = 5, 75, 100
 SMALL, FINEST = 32, 60
 HOT_IN_BATCH, MARK = 32, 255
+FLUSH = 1 << 19               # signatures that a task holds before it sends them
+BUCKET_BYTES = 16 << 20       # of text, whose signatures meet in one bucket
+MAX_BROADCAST = 1_000_000     # rows of (set, group), 24 MB
 BLOCK = 64                    # sets of a group that are compared in one task
 MANY = np.uint32(0xFFFFFFFF)
 SIG_BITS = np.uint64(40)
@@ -160,84 +163,99 @@ def _by(slot: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield int(slot[i]), *(a[i:j] for a in arrays)
 
 
+class Signed:
+    """Signatures and documents that a task has made and not yet sent."""
+
+    def __init__(self) -> None:
+        self.docs, self.sigs, self.owners, self.keys, self.es = [], [], [], [], []
+        self.known = self.held = 0
+
+    def add(self, d: np.ndarray, new: np.ndarray, value: np.ndarray, n: np.ndarray, num: int, den: int) -> None:
+        """Sign the ``new`` rows of a chunk (documents ``d``, sets ``value``)."""
+        self.docs.append(d)
+        rows = np.flatnonzero(new)
+        if not len(rows):
+            return
+        value, m, key = value[np.repeat(new, n)], n[rows], d["key"][rows]
+        own, far, k = band(m), band(m * den // num), spoiled(m, num, den)
+        weak = np.zeros(len(rows), bool)
+        for field, e in (("p1", own), ("p2", far), ("", np.full(len(rows), FINEST))):
+            some = np.ones(len(rows), bool) if field == "p1" else far != own if field == "p2" else weak
+            if not some.any():
+                continue
+            sig, p = signatures(value[np.repeat(some, m)], m[some], e[some])
+            if field:
+                d[field][rows[some]] = p
+                weak[some] |= (p <= k[some]) & (e[some] != FINEST)
+            self.sigs.append(sig), self.owners.append((self.known + np.repeat(np.arange(len(p)), p)).astype(np.uint32))
+            self.keys.append(key[some]), self.es.append(e[some].astype(np.uint8))
+            self.known += len(p)
+            self.held += len(sig)
+
+    def batch(self, n: int) -> pa.RecordBatch:
+        kinds, slots, bodies = [], [], []
+        docs = np.concatenate(self.docs)
+        for slot, some in _by(((docs["key"] >> _U(8)) % _U(n)).astype(np.int64), docs):
+            kinds.append(DOCS), slots.append(slot), bodies.append(_columns(some))
+        if self.sigs:
+            sig, owner, key, e = (np.concatenate(x) for x in (self.sigs, self.owners, self.keys, self.es))
+            cold, hot = _hot(sig)
+            if len(hot):
+                rows = np.zeros(len(hot), SIG)
+                rows["sig"], rows["key"], rows["e"], rows["count"] = _name(sig[hot], n), key[owner[hot]], e[owner[hot]], MANY
+                for slot, some in _by(((rows["key"] >> _U(8)) % _U(n)).astype(np.int64), rows):
+                    kinds.append(SHARED), slots.append(slot), bodies.append(_columns(some))
+                mark = np.unique(sig[hot])
+                key, e = np.append(key, _U(0)), np.append(e, np.uint8(MARK))
+                sig = np.concatenate([sig[cold], mark])
+                owner = np.concatenate([owner[cold], np.full(len(mark), len(key) - 1, np.uint32)])
+            for slot, s, o in _by(((sig >> SIG_BITS) % _U(n)).astype(np.int64), sig, owner):
+                at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                each = np.diff(np.append(at, len(o))).astype(np.uint32)
+                own = o[at]
+                kinds.append(SIGNED), slots.append(slot)
+                bodies.append(b"".join([np.array([len(own), len(s)], "<u4").tobytes(), key[own].tobytes(), e[own].tobytes(), each.tobytes(),
+                                        (s & _U(0xFFFFFFFF)).astype("<u4").tobytes(), ((s >> _U(32)) & _U(0xFF)).astype("<u1").tobytes()]))
+        return _batch(kinds, slots, bodies)
+
+
 def sign(buckets_: int, words: int, num: int, den: int):
-    """Signatures of each batch by bucket, and its documents by set."""
+    """Signatures by bucket, and documents by set; a set is signed once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed: set[int] = set()  # sets that this task has signed
+        signed: set[int] = set()
+        out = Signed()
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             ids = batch.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             hashes = batch.column("h").to_numpy(zero_copy_only=False)
-            docs, sigs, owners, keys, es = [], [], [], [], []
-            known = 0
             for a, b in chunks(offsets):
                 value, n = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], words)
-                key = set_keys(value, n)
                 d = np.zeros(b - a, DOC)
-                d["doc"], d["null"], d["h"], d["n"], d["key"] = ids[a:b], null[a:b], hashes[a:b], n, key
+                d["doc"], d["null"], d["h"], d["n"], d["key"] = ids[a:b], null[a:b], hashes[a:b], n, set_keys(value, n)
                 new = np.zeros(b - a, bool)
-                for i, k in enumerate(key.tolist()):
+                for i, k in enumerate(d["key"].tolist()):
                     if k and k not in signed:
                         signed.add(k)
                         new[i] = True
-                rows = np.flatnonzero(new)
-                if len(rows):
-                    value, m = value[np.repeat(new, n)], n[rows]
-                    own, far, k = band(m), band(m * den // num), spoiled(m, num, den)
-                    weak = np.zeros(len(rows), bool)
-                    for field, e in (("p1", own), ("p2", far), ("", np.full(len(rows), FINEST))):
-                        some = np.ones(len(rows), bool) if field == "p1" else far != own if field == "p2" else weak
-                        if not some.any():
-                            continue
-                        sig, p = signatures(value[np.repeat(some, m)], m[some], e[some])
-                        if field:
-                            d[field][rows[some]] = p
-                            weak[some] |= (p <= k[some]) & (e[some] != FINEST)
-                        sigs.append(sig), owners.append(known + np.repeat(np.arange(len(p)), p))
-                        keys.append(key[rows[some]]), es.append(e[some])
-                        known += len(p)
-                docs.append(d)
-            if not docs:
-                continue
-            docs = np.concatenate(docs)
-            kinds, slots, bodies = [], [], []
-            for slot, some in _by(((docs["key"] >> _U(8)) % _U(buckets_)).astype(np.int64), docs):
-                kinds.append(DOCS), slots.append(slot), bodies.append(_columns(some))
-            if sigs:
-                sig, owner = np.concatenate(sigs), np.concatenate(owners).astype(np.uint32)
-                key, e = np.concatenate(keys), np.concatenate(es).astype(np.uint8)
-                kept, cold, hot = _hot(sig)
-                if len(hot):
-                    rows = np.zeros(len(hot), SIG)
-                    rows["sig"], rows["key"], rows["e"], rows["count"] = sig[hot], key[owner[hot]], e[owner[hot]], MANY
-                    rows["sig"] = _name(rows["sig"], buckets_)
-                    for slot, some in _by(((rows["key"] >> _U(8)) % _U(buckets_)).astype(np.int64), rows):
-                        kinds.append(SHARED), slots.append(slot), bodies.append(_columns(some))
-                    mark = np.unique(sig[hot])
-                    key, e = np.append(key, _U(0)), np.append(e, np.uint8(MARK))
-                    sig = np.concatenate([sig[cold], mark])
-                    owner = np.concatenate([owner[cold], np.full(len(mark), len(key) - 1, np.uint32)])
-                for slot, s, o in _by(((sig >> SIG_BITS) % _U(buckets_)).astype(np.int64), sig, owner):
-                    at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                    each = np.diff(np.append(at, len(o))).astype(np.uint32)
-                    own = o[at]
-                    kinds.append(SIGNED), slots.append(slot)
-                    bodies.append(b"".join([np.array([len(own), len(s)], "<u4").tobytes(), key[own].tobytes(), e[own].tobytes(), each.tobytes(),
-                                            (s & _U(0xFFFFFFFF)).astype("<u4").tobytes(), ((s >> _U(32)) & _U(0xFF)).astype("<u1").tobytes()]))
-            yield _batch(kinds, slots, bodies)
+                out.add(d, new, value, n, num, den)
+                if out.held >= FLUSH:
+                    yield out.batch(buckets_)
+                    out = Signed()
+        if out.docs:
+            yield out.batch(buckets_)
     return run
 
 
-def _hot(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted signatures, positions of the cold ones, of the hot ones)."""
+def _hot(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the cold signatures, of the hot ones)."""
     by = np.argsort(sig, kind="stable")
     s = sig[by]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     each = np.diff(np.append(at, len(s)))
     hot = np.repeat(each > HOT_IN_BATCH, each)
-    return s, np.sort(by[~hot]), np.sort(by[hot])
+    return np.sort(by[~hot]), np.sort(by[hot])
 
 
 def _name(sig: np.ndarray, n: int) -> np.ndarray:
@@ -261,16 +279,16 @@ def count_bucket(n: int):
             sig = np.frombuffer(body, "<u4", m, at).astype(_U) | (np.frombuffer(body, "<u1", m, at + 4 * m).astype(_U) << _U(32))
             sigs.append(sig), keys.append(np.repeat(own, each)), es.append(np.repeat(e, each))
         if sigs:
-            rows = np.zeros(sum(map(len, sigs)), SIG)
-            rows["sig"], rows["key"], rows["e"] = np.concatenate(sigs), np.concatenate(keys), np.concatenate(es)
-            del sigs, keys, es
-            s = rows["sig"]
+            s = np.concatenate(sigs)
             by = np.argsort(s)
             s = s[by]
             twin = np.zeros(len(s), bool)
             twin[1:] = s[1:] == s[:-1]
             twin[:-1] |= twin[1:]
-            rows = rows[by[twin]]
+            rows = np.zeros(int(twin.sum()), SIG)
+            by = by[twin]
+            rows["sig"], rows["key"], rows["e"] = s[twin], np.concatenate(keys)[by], np.concatenate(es)[by]
+            del sigs, keys, es, s, by
             rows = rows[np.lexsort((rows["key"], rows["sig"]))]
             new = np.ones(len(rows), bool)
             new[1:] = (rows["sig"][1:] != rows["sig"][:-1]) | (rows["key"][1:] != rows["key"][:-1])
@@ -463,9 +481,10 @@ def link_sets(docs: DataFrame, members: DataFrame, n: int, words: int, num: int,
     groups = components(near)
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     groups = written(groups.join(sizes, "component"), "groups")
-    marks = spark.sparkContext.broadcast(bitmap(groups.select("key"), _keys, bits_for(groups.count())))
+    n_sets = groups.count()
+    marks = spark.sparkContext.broadcast(bitmap(groups.select("key"), _keys, bits_for(n_sets)))
     sets = docs.mapInArrow(sets_of(marks, words), "key long, shingles array<long>")
-    sets = written(sets.join(groups, "key"), "sets")
+    sets = written(sets.join(F.broadcast(groups) if n_sets <= MAX_BROADCAST else groups, "key"), "sets")
     small = sets.filter(F.col("size") <= BLOCK).withColumn("slot", F.pmod(F.xxhash64("component"), F.lit(n)))
     links = written(small.groupBy("slot").applyInArrow(solve_groups(num, den), "a long, b long"), "links")
     large = sets.filter(F.col("size") > BLOCK)
@@ -492,7 +511,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     even where rows share ids (null for empty sets)."""
     spark = docs.sparkSession
     docs = text_rows(docs).withColumn("h", F.xxhash64("text"))
-    n = buckets(spark, text_bytes(docs))
+    n = buckets(spark, text_bytes(docs), BUCKET_BYTES)
     signed = docs.mapInArrow(sign(n, words, num, den), MOVED).groupBy("bucket").applyInArrow(count_bucket(n), MOVED)
     signed = written(signed, "signatures")
     rows = signed.filter(F.col("kind") == DOCS).select("body").mapInArrow(document_rows, "doc_id long, h long, n_shingles long, key long")

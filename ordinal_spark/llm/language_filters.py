@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -136,7 +135,7 @@ def learn(docs: DataFrame, size: int = SIZE) -> dict:
         n_slots *= 2
     table = np.zeros((n_slots, words), _U)
     for r in (held.coalesce(64).mapInArrow(_marked(n_slots, words), "block int, body binary").groupBy("block")
-              .applyInPandas(_merged, "block int, body binary").toLocalIterator()):
+              .applyInArrow(_merged, "block int, body binary").toLocalIterator()):
         table.reshape(-1, _block(n_slots, words))[r["block"]] = np.frombuffer(r["body"], _U)
     fill = [(table[:, i // 64] >> _U(i % 64) & _U(1)).mean() for i in range(len(langs))]
     if words == 1:  # as narrow as the languages allow
@@ -162,9 +161,9 @@ def _marked(n_slots: int, words: int):
     return run
 
 
-def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    body = np.bitwise_or.reduce([np.frombuffer(x, _U) for x in pdf["body"]])
-    return pd.DataFrame({"block": [key[0]], "body": [body.tobytes()]})
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    body = np.bitwise_or.reduce([np.frombuffer(x.as_py(), _U) for x in table.column("body")])
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([body.tobytes()], pa.binary())], names=["block", "body"])
 
 
 def decide(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
