@@ -33,12 +33,14 @@ from .frames import documents, text_rows, written
 
 WORDS, SIMILARITY, RADIUS = 5, 0.75, 23
 MAX_BROADCAST = 1_000_000
+SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
 
 
 def words(text: str) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    low = F.btrim(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(SPACE))
+    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, r"[\x20\x09-\x0D]+"))
 
 
 def shingles(w: str, n: int) -> Column:
@@ -96,8 +98,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
              .select("doc_id", "h", words("text").alias("w"), F.explode("windows").alias("x")).select("doc_id", "h", "w", "x.*"))
     again = again.withColumn("w", F.slice("w", F.col("start") + 1, F.col("n_words")))
     cut = F.coalesce(*[F.when(F.col("gram") == g, shingles("w", g)) for g in grams or [n]])
-    windows = again.select("doc_id", "h", "start", "n_words", cut.alias("window")).withColumn("simhash", fingerprint("window"))
-    marked = items.filter(F.size("bag") > 0).withColumn("simhash", fingerprint("bag"))
+    # tables end the expressions here, or they would be copied into each use
+    cut = written(again.select("doc_id", "h", "start", "n_words", cut.alias("window")), "cuts")
+    windows = written(cut.withColumn("simhash", fingerprint("window")), "fingerprints")
+    marked = written(items.filter(F.size("bag") > 0).withColumn("simhash", fingerprint("bag")), "item-fingerprints")
     side = windows.withColumn("x", F.explode(blocks(radius))).select("*", "x.number", "x.bits").drop("x")
     other = (marked.withColumn("x", F.explode(blocks(radius)))
              .select("item_id", "n_words", "bag", F.col("simhash").alias("item_simhash"), "x.number", "x.bits"))
@@ -106,7 +110,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
     differ = F.col("simhash").bitwiseXOR(F.col("item_simhash"))
     first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))])
-    scored = near.filter(F.col("number") == first).withColumn("similarity", similarity("window", "bag")).filter(F.col("similarity") >= least)
+    near = written(near.filter(F.col("number") == first).select("doc_id", "h", "start", "item_id", "window", "bag"), "candidates")
+    scored = near.withColumn("similarity", similarity("window", "bag")).filter(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b")
     return (scored.groupBy("doc_id", "h", "item_id").agg(best)
             .select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "h", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.similarity").alias("similarity")))
