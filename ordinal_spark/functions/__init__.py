@@ -75,8 +75,3 @@ def clamp_round(c: Column, low: float = 1.0, high: float | None = None) -> Colum
     if high is not None:
         x = F.least(x, F.lit(float(high)))
     return F.bround(x, 0).cast("int")
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields null instead of failing on zero (ANSI mode)."""
-    return F.try_divide(a, b)

@@ -170,14 +170,14 @@ def varying_attributes(df: DataFrame, key: str) -> DataFrame:
     """A3: per column, how many multi-record keys hold more than one distinct
     value (null is a value). Columns that never vary are absent.
 
-    "More than one distinct value" is ``min != max`` or (a null and a
-    non-null), so this is one plain aggregate (no distinct aggregation, no
-    row expansion) with map-side combine.
+    "More than one distinct value" is ``min != max`` of the values' 64-bit
+    hashes or (a null and a non-null), so this is one hash aggregate (no
+    distinct aggregation, no row expansion) with map-side combine.
     """
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        x = col(c)
+        x = F.when(col(c).isNotNull(), F.xxhash64(col(c)))
         aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}"),
                  F.count(x).alias(f"_nn{i}")]
     per = df.groupBy(col(key).alias("_key_")).agg(*aggs).where(F.col("_n") > 1)

@@ -63,12 +63,13 @@ def describe_violations(inventory: DataFrame) -> list[str]:
 
 def fd_violations(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
     """V3: attributes holding more than one distinct non-null value for some
-    key: (column, n_bad_keys, example_key). One aggregate with min/max per
-    attribute (more than one distinct value <=> min != max); no distinct
-    aggregation, so hot keys are combined map-side."""
+    key: (column, n_bad_keys, example_key). One hash aggregate with min/max of
+    each attribute's 64-bit hash (more than one distinct value <=> min != max);
+    no distinct aggregation, so hot keys are combined map-side."""
     aggs = []
     for i, a in enumerate(attributes):
-        aggs += [F.min(col(a)).alias(f"_mn{i}"), F.max(col(a)).alias(f"_mx{i}")]
+        h = F.when(col(a).isNotNull(), F.xxhash64(col(a)))
+        aggs += [F.min(h).alias(f"_mn{i}"), F.max(h).alias(f"_mx{i}")]
     per = df.where(col(key).isNotNull()).groupBy(col(key).alias("_k")).agg(*aggs)
     out = []
     for i, a in enumerate(attributes):

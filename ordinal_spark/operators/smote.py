@@ -11,17 +11,22 @@ Exact k nearest neighbours without emitting all pairs of a class:
 * Rows with identical features collapse into one *point* with a multiplicity;
   neighbours are found between points (a row's own duplicates are its
   distance-0 neighbours).
-* Pigeonhole blocking: cut the F categorical features into h+1 groups; two
-  points within Hamming distance h agree on at least one group, so one
-  equi-join on exploded (radius, group, signature) keys returns every point
-  within Hamming distance h, and no point outside is nearer than
-  (h+1) Med^2.
+* Points with the same categories form one *signature*, in which distance is
+  one-dimensional: the k nearest rows lie among the k + 1 points before and
+  the k + 1 after a score. So points are never paired; signatures are, and a
+  point gets at most 2k + 2 candidates from each signature near its own. The
+  number of signatures is bounded by the closed category lists.
+* Pigeonhole blocking finds near signatures: cut the F categorical features
+  into h+1 groups; two signatures within Hamming distance h agree on at least
+  one group, so one equi-join on (radius, group, values) returns them all, and
+  no point outside is nearer than (h+1) Med^2.
 * Pass 1 (radius 1, two halves of the features): points whose k-th distance
   is below 2 Med^2 are finished. For the rest the k rows found bound the k-th
   distance by ub, and any true neighbour has H Med^2 <= ub.
-* Pass 2 searches each open point at radius h* = floor(ub / Med^2) (its own
-  radius, one mixed join), dropping pairs beyond ub: exact by the two facts
-  above. A point without k rows in pass 1 is compared with its whole class.
+* Pass 2 searches the signatures of open points at radius
+  h* = floor(ub / Med^2) (the largest of their open points), dropping
+  candidates beyond ub: exact by the two facts above. A point without k rows
+  in pass 1 looks at all signatures of its class.
 
 Synthetic rows (imbalanced-learn convention): base row uniform among the
 class rows, neighbour uniform among its k neighbour rows, continuous value
@@ -35,6 +40,7 @@ from __future__ import annotations
 from typing import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +55,10 @@ def _uniform(*parts) -> F.Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-def _signatures(pts: DataFrame, cats: Sequence[str], rounds: Sequence[int]) -> DataFrame:
+def _blocks(sigs: DataFrame, cats: Sequence[str], rounds: Sequence[int]) -> DataFrame:
     """Pigeonhole block keys: for round h the F categorical features are cut
-    into h+1 groups; each point gets one (h, group, signature) row per group.
-    Round F is the whole class (one empty signature)."""
+    into h+1 groups; each signature gets one (h, group, values) row per group.
+    Round F is the whole class (one empty group)."""
     nf = len(cats)
     rows = []
     for h in rounds:
@@ -60,27 +66,55 @@ def _signatures(pts: DataFrame, cats: Sequence[str], rounds: Sequence[int]) -> D
         for gi, g in enumerate(groups):
             sig = F.to_json(F.struct(*[F.col(f"`{c}`") for c in g])) if g else F.lit("")
             rows.append(F.struct(F.lit(h).alias("_h"), F.lit(gi).alias("_gi"), sig.alias("_sig")))
-    return pts.select("*", F.explode(F.array(*rows)).alias("_b")).select("*", "_b.*").drop("_b")
+    return (sigs.select("_y", "_sid", *[col(c) for c in cats], *[c for c in ("_hs",) if c in sigs.columns], F.explode(F.array(*rows)).alias("_b"))
+            .select("*", "_b.*").drop("_b"))
 
 
-def _pair_candidates(a: DataFrame, b: DataFrame, cats: Sequence[str],
-                     bound: str | None = None) -> DataFrame:
-    """Distinct (point, candidate) pairs sharing a block key, with distance.
-    With ``bound`` (an upper bound of the point's k-th distance, or null)
-    pairs beyond it are dropped right after the join."""
+def _signature_table(pts: DataFrame, cats: Sequence[str], *more) -> DataFrame:
+    """One row per (class, signature) with its points sorted by score."""
+    sid = F.to_json(F.struct(*[col(c) for c in cats])) if cats else F.lit("")
+    points = F.sort_array(F.collect_list(F.struct("_s", "_pid", "_m", *more))).alias("_pts")
+    return pts.withColumn("_sid", sid).groupBy("_y", "_sid", *[col(c).alias(c) for c in cats]).agg(points, F.first("_med").alias("_med"))
+
+
+def _near_rows(k: int):
+    """From pairs of signatures, each point of the first with the points of the
+    second among which its k nearest rows of that signature lie."""
+    reach = np.arange(-(k + 1), k + 1)
+
+    def run(batches):
+        for batch in batches:
+            pid, nb, d2, mult, ys, meds = [], [], [], [], [], []
+            for y, own, other, h, med in zip(*(batch.column(c).to_pylist() for c in ("_y", "_pa", "_pb", "_mism", "_med"))):
+                sb = np.array([p["_s"] for p in other])
+                mb = np.array([p["_m"] for p in other])
+                for p in own:
+                    at = np.searchsorted(sb, p["_s"]) + reach
+                    at = at[(at >= 0) & (at < len(sb))]
+                    far = (p["_s"] - sb[at]) ** 2 + med ** 2 * h
+                    ub = p.get("_ub")
+                    for i, d in zip(at.tolist(), far.tolist()):
+                        m = int(mb[i]) - (other[i]["_pid"] == p["_pid"])
+                        if m > 0 and (ub is None or d <= ub):
+                            pid.append(p["_pid"]), nb.append(other[i]["_pid"]), d2.append(d), mult.append(m), ys.append(y), meds.append(med)
+            yield pa.RecordBatch.from_arrays([pa.array(ys, batch.schema.field("_y").type), pa.array(pid, pa.string()), pa.array(nb, pa.string()),
+                                              pa.array(d2, pa.float64()), pa.array(mult, pa.int64()), pa.array(meds, pa.float64())],
+                                             names=["_y", "_pid", "_nb", "_d2", "_mult", "_med"])
+    return run
+
+
+def _candidates(a: DataFrame, blocks_a: DataFrame, b: DataFrame, blocks_b: DataFrame, cats: Sequence[str], k: int) -> DataFrame:
+    """(point, candidate) rows of all signature pairs that share a block key."""
     mism = F.lit(0)
     for c in cats:
         mism = mism + (~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))).cast("int")
-    j = a.alias("a").join(b.alias("b"), ["_y", "_h", "_gi", "_sig"])
-    d2 = (F.col("a._s") - F.col("b._s")) ** 2 + F.col("a._med") ** 2 * mism
-    if bound is not None:
-        j = j.where(F.col(f"a.{bound}").isNull() | (d2 <= F.col(f"a.{bound}")))
-    return (j.select(F.col("_y"), F.col("a._pid").alias("_pid"), F.col("b._pid").alias("_nb"),
-                     d2.alias("_d2"),
-                     F.when(F.col("a._pid") == F.col("b._pid"), F.col("b._m") - 1)
-                     .otherwise(F.col("b._m")).alias("_mult"),
-                     F.col("a._med").alias("_med"))
-            .dropDuplicates(["_y", "_pid", "_nb"]).where(F.col("_mult") > 0))
+    pairs = (blocks_a.alias("a").join(blocks_b.alias("b"), ["_y", "_h", "_gi", "_sig"])
+             .select("_y", F.col("a._sid").alias("_a"), F.col("b._sid").alias("_o"), mism.alias("_mism")).distinct())
+    both = (pairs.join(a.select("_y", F.col("_sid").alias("_a"), F.col("_pts").alias("_pa"), "_med"), ["_y", "_a"])
+            .join(b.select("_y", F.col("_sid").alias("_o"), F.col("_pts").alias("_pb")), ["_y", "_o"]))
+    y = both.schema["_y"].dataType.simpleString()
+    return both.select("_y", "_pa", "_pb", "_mism", "_med").mapInArrow(
+        _near_rows(k), f"_y {y}, _pid string, _nb string, _d2 double, _mult bigint, _med double")
 
 
 def _take_k(cands: DataFrame, k: int) -> DataFrame:
@@ -109,12 +143,13 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
     pts = cut_lineage(pts.join(F.broadcast(med), "_y"))  # class table: K rows
 
     nf = len(cats)
+    sigs = cut_lineage(_signature_table(pts, cats))
     # pass 1: radius-1 blocks (two halves of the features). Points whose k-th
     # distance is below 2 Med^2 are finished; for the others the k rows found
     # give an upper bound ub of the k-th distance.
     h1 = min(1, nf)
-    a = _signatures(pts, cats, [h1])
-    used = _take_k(_pair_candidates(a, a, cats), k)
+    blocks = _blocks(sigs, cats, [h1])
+    used = cut_lineage(_take_k(_candidates(sigs, blocks, sigs, blocks, cats, k), k))
     stat = used.groupBy("_y", "_pid").agg(F.max("_ce").alias("_tot"), F.max("_d2").alias("_ub"))
     st = pts.select("_y", "_pid", "_med").join(stat, ["_y", "_pid"], "left")
     ok = F.coalesce((F.col("_tot") >= k) & (F.col("_ub") < F.lit(float(h1 + 1)) * F.col("_med") ** 2),
@@ -130,10 +165,11 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
     radii = sorted(r[0] for r in rest.select("_hs").distinct().collect())  # <= F+1 values
     parts = [first.select("_y", "_pid", "_nb", "_cs", "_ce")]
     if radii:
-        a2 = (_signatures(pts.join(rest, ["_y", "_pid"]), cats, radii)
-              .where(F.col("_h") == F.col("_hs")).drop("_hs"))
-        b2 = _signatures(pts, cats, radii)
-        second = _take_k(_pair_candidates(a2, b2, cats, bound="_ub"), k)
+        open_ = _signature_table(pts.join(rest, ["_y", "_pid"]), cats, "_ub")
+        wide = pts.join(rest, ["_y", "_pid"]).withColumn("_sid", F.to_json(F.struct(*[col(c) for c in cats])) if cats else F.lit(""))
+        wide = wide.groupBy("_y", "_sid").agg(F.max("_hs").alias("_hs"))
+        blocks_a = _blocks(open_.join(wide, ["_y", "_sid"]), cats, radii).where(F.col("_h") == F.col("_hs")).drop("_hs")
+        second = _take_k(_candidates(open_, blocks_a, sigs, _blocks(sigs, cats, radii), cats, k), k)
         parts.append(second.select("_y", "_pid", "_nb", "_cs", "_ce"))
     nbr = parts[0]
     for q in parts[1:]:

@@ -146,14 +146,15 @@ REFERENCE_CONFIG = {
     "ordinal_logistic": {"alpha": 1.0},
     "ordered_forest": {"n_estimators": 100, "min_samples_leaf": 10, "max_features": 10},
     "boosted_ordinal": {"iterations": 2000, "learning_rate": 0.1, "depth": 4, "l2_leaf_reg": 6},
-    "conditional_ordinal_net": {"hidden_layer_sizes": (64, 32), "lr": 0.001, "batch_size": 64,
-                                "epochs": 100},
+    "conditional_ordinal_net": {"hidden_layer_sizes": (64, 32), "epochs": 100},
 }
 MODEL_CLASSES = {"ordinal_logistic": OrdinalLogistic, "ordered_forest": OrderedForest,
                  "boosted_ordinal": BoostedOrdinal,
                  "conditional_ordinal_net": ConditionalOrdinalNet}
 DEFAULT_GRIDS = {"ordinal_logistic": GRID_ORDINAL_LOGISTIC, "ordered_forest": GRID_ORDERED_FOREST,
-                 "boosted_ordinal": GRID_BOOSTED, "conditional_ordinal_net": GRID_NEURAL}
+                 "boosted_ordinal": GRID_BOOSTED,
+                 # l-bfgs has no step or batch size (see M3)
+                 "conditional_ordinal_net": {k: v for k, v in GRID_NEURAL.items() if k not in ("lr", "batch_size")}}
 
 
 def candidates(features: Sequence[str], label: str, configs: Mapping[str, Sequence[Mapping]],

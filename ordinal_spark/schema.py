@@ -32,10 +32,6 @@ class OrdinalSpec:
     def mapping(self) -> dict[str, int]:
         return {lvl: i for i, lvl in enumerate(self.levels)}
 
-    @property
-    def kept_codes(self) -> list[int]:
-        return [i for i, lvl in enumerate(self.levels) if lvl not in self.excluded]
-
 
 @dataclass(frozen=True)
 class SeveritySchema:
@@ -203,7 +199,3 @@ GRID_BOOSTED = {"iterations": [1000, 2000], "learning_rate": [0.01, 0.1], "depth
                 "l2_leaf_reg": [3, 6]}
 GRID_NEURAL = {"hidden_layer_sizes": [(64, 32)], "lr": [0.001], "batch_size": [64],
                "epochs": [100]}
-
-
-def ordered_levels(spec: OrdinalSpec) -> Sequence[str]:
-    return [lvl for lvl in spec.levels if lvl not in spec.excluded]
