@@ -4,8 +4,14 @@ The file's content travels as a broadcast (a few MB whatever the input), so
 executors need no copy of it. Where a tokenizer drops white space (its
 normaliser only folds, and its splitter takes pieces without blanks), the ids
 of a text are the ids of its blank- and line-separated words one after
-another; each worker then encodes a word once and looks it up afterwards. The
-library does all encoding; other tokenizers get whole texts.
+another; each worker then encodes a word once and looks it up afterwards.
+
+New words of ASCII and Latin-1 letters are cut into the pieces that the
+tokenizer's own splitting pattern takes from them, and the library encodes new
+pieces, many at a time, with the file's model. Every piece ends with one id
+whose token has the end-of-word suffix, which tells pieces apart. All other
+words, and any batch whose counts disagree, go through the whole tokenizer word
+by word. Other tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -13,16 +19,21 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .text import ragged
 
-WORDS_KEPT = 300_000          # of a worker's memory of words; it starts anew beyond
+WORDS_KEPT, PIECES_KEPT = 200_000, 700_000  # of a worker's memories, which start anew beyond
+TOGETHER = 2_000              # new pieces that are encoded as one text
+# words of other than visible ASCII and Latin-1 letters, which NFC leaves and lower-casing takes letter by letter
+ODD_LINE = regex.compile("^[!-~À-ÖØ-öø-ÿ]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*$", regex.MULTILINE)
+MARK = "\x01"
 _FOLDING = {"NFC", "NFD", "Lowercase"}
 _encoders: dict[str, "Encoder"] = {}
 
@@ -33,10 +44,12 @@ def drops_space(spec: dict) -> bool:
     norms = norm.get("normalizers", [norm] if norm else [])
     pres = pre.get("pretokenizers", [pre] if pre else [])
     folds = all(x["type"] in _FOLDING or x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " " for x in norms)
-    if not (folds and pres and pres[0]["type"] == "Split" and pres[0]["behavior"] == "Removed" and pres[0]["invert"]):
+    if not (folds and len(pres) == 2 and pres[0]["type"] == "Split" and pres[0]["behavior"] == "Removed" and pres[0]["invert"]):
+        return False
+    if pres[1]["type"] != "ByteLevel" or pres[1]["add_prefix_space"] or pres[1]["use_regex"]:
         return False
     pattern = pres[0]["pattern"].get("Regex")
-    return (bool(pattern) and not regex.search(pattern, " \n") and spec["model"].get("type") == "BPE"
+    return (bool(pattern) and not regex.search(pattern, " \n") and spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix")
             and not any(set(" \n") & set(x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", [])))
 
 
@@ -53,42 +66,110 @@ class Memo(dict):
         return at
 
 
+class Ragged:
+    """Ids of numbered things, as arrays that grow."""
+
+    def __init__(self) -> None:
+        self.n = self.used = 0
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def append(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while len(self.size) < self.n + len(sizes):
+            self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        mine = slice(self.n, self.n + len(sizes))
+        self.size[mine], self.start[mine] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[ragged(self.start[at], self.size[at])]
+
+
+def printable_bytes() -> dict[int, int]:
+    """The byte-level alphabet: visible Latin-1 characters stand for their
+    byte, the other bytes for characters from 256 on, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+
 class Encoder:
     def __init__(self, content: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = drops_space(json.loads(content))
+        spec = json.loads(content)
+        self.by_word = drops_space(spec)
+        if self.by_word:
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.special = [x["content"] for x in spec.get("added_tokens", [])]
+            self.bytes = printable_bytes()
+            vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(max([*vocab.values(), *(x["id"] for x in spec.get("added_tokens", []))]) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.piece, self.piece_ids = Memo(), Ragged()
         self.clear()
 
     def clear(self) -> None:
-        self.memo = Memo()
-        self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-        self.start = np.zeros(1024, np.int64)
-
-    def learn(self) -> None:
-        words, self.memo.new = self.memo.new, []
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n, sizes = len(self.memo), np.fromiter(map(len, found), np.int64, len(found))
-        while len(self.size) < n:
-            self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
-        more = int(sizes.sum())
-        while len(self.ids) < self.used + more:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + more] = np.fromiter((i for x in found for i in x), np.uint32, more)
-        self.size[n - len(words):n], self.start[n - len(words):n] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.used += more
-
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Forget words, and pieces if there are too many."""
+        self.word, self.words = Memo(), Ragged()
+        if len(self.piece) > PIECES_KEPT:
+            self.piece, self.piece_ids = Memo(), Ragged()
+
+    def _learn_pieces(self) -> None:
+        new, self.piece.new = self.piece.new, []
+        groups = [new[i:i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        seen = [" ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes) for p in g) for g in groups]
+        for group, text in zip(groups, self.pieces.encode_batch_fast(seen, add_special_tokens=False)):
+            ids = np.array(text.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(group) or (len(ids) and last[-1] != len(ids)):
+                alone = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                self.piece_ids.append(np.array([len(x) for x in alone], np.int64), np.array([i for x in alone for i in x], np.uint32))
+            else:
+                self.piece_ids.append(np.diff(np.concatenate([[0], last])), ids)
+
+    def _learn_words(self) -> None:
+        new, self.word.new = self.word.new, []
+        joined = "\n".join(new)
+        odd = set(ODD_LINE.findall(joined))
+        if any(x in joined for x in self.special):
+            odd |= {w for w in new if any(x in w for x in self.special)}
+        plain = [w for w in new if w not in odd] if odd else new
+        # a mark after each word is a piece by itself
+        cut = self.cut.findall(f" {MARK} ".join([*plain, ""]).lower())
+        at = np.fromiter(map(self.piece.__getitem__, cut), np.int64, len(cut))
+        if self.piece.new:
+            self._learn_pieces()
+        marks = np.flatnonzero(at == self.piece[MARK]) if plain else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate([[-1], marks])) - 1
+        at = np.delete(at, marks)
+        each = np.zeros(len(new), np.int64)
+        each[[i for i, w in enumerate(new) if w not in odd] if odd else slice(None)] = counts
+        owner = np.repeat(np.arange(len(new)), each)
+        sizes = np.bincount(owner, self.piece_ids.size[at], len(new)).astype(np.int64)
+        ids = self.piece_ids.of(at)
+        others = [i for i, w in enumerate(new) if w in odd] if odd else []
+        if others:
+            whole = [x.ids for x in self.tokenizer.encode_batch_fast([new[i] for i in others], add_special_tokens=False)]
+            begin = np.cumsum(sizes) - sizes
+            ids = np.insert(ids, np.repeat(begin[others], [len(x) for x in whole]), [i for x in whole for i in x])
+            sizes[others] = [len(x) for x in whole]
+        self.words.append(sizes, ids.astype(np.uint32))
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all texts, where each text's begin)."""
-        if len(self.memo) > WORDS_KEPT:
+        if len(self.word) > WORDS_KEPT:
             self.clear()
         each = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
         words = " ".join(texts).replace("\n", " ").split(" ")
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        if self.memo.new:
-            self.learn()
+        at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        if self.word.new:
+            self._learn_words()
         return at, np.cumsum(each) - each
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -97,8 +178,8 @@ class Encoder:
             return np.zeros(0, np.int64)
         if not self.by_word:
             return np.array([len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
-        at, begin = self._pieces(texts)
-        return np.add.reduceat(self.size[at], begin)
+        at, begin = self._words(texts)
+        return np.add.reduceat(self.words.size[at], begin)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids in each text)."""
@@ -107,9 +188,8 @@ class Encoder:
         if not self.by_word:
             found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        at, begin = self._pieces(texts)
-        size = self.size[at]
-        return self.ids[ragged(self.start[at], size)], np.add.reduceat(size, begin)
+        at, begin = self._words(texts)
+        return self.words.of(at), np.add.reduceat(self.words.size[at], begin)
 
 
 def load(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
