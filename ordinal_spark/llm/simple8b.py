@@ -95,7 +95,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, np.searchsorted(run, np.arange(runs)).astype(np.uint32), escapes
 
 
+_SHORT = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1))).astype(np.uint8)
+
+
 def _bit_length(ids: np.ndarray) -> np.ndarray:
+    if len(ids) and ids.max() < len(_SHORT):
+        return _SHORT[ids]
     out, rest = np.ones(len(ids), np.uint8), ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
         big = rest >= (_U(1) << _U(step))

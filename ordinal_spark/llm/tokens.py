@@ -22,6 +22,8 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
@@ -165,12 +167,14 @@ class Encoder:
         """(word numbers of all texts, where each text's begin)."""
         if len(self.word) > WORDS_KEPT:
             self.clear()
-        each = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
-        words = " ".join(texts).replace("\n", " ").split(" ")
-        at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()  # each distinct word is looked up once
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.word.__getitem__, distinct), np.int64, len(distinct))
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
         if self.word.new:
             self._learn_words()
-        return at, np.cumsum(each) - each
+        return at, split.offsets.to_numpy()[:-1].astype(np.int64)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Ids in each text."""
