@@ -4,11 +4,13 @@ joins only; no Python runs on the rows.
 Texts are words (A-Z lower-cased, split at white space), items and windows are
 bags of five-word shingles (of all words, for items with fewer).
 
-* A window has its item's number of words. A window can only reach the
-  similarity if it shares a shingle with the item, so windows are laid where a
-  shared shingle puts the item's start (clipped to the document). This prunes
-  exactly: all shingles of all documents are looked up, and no other window
-  placed by a common shingle is left out.
+* A window has its item's number of words. It can only reach the similarity
+  if enough of its shingles are the items' (6 of 7 for 0.75), so windows are
+  laid at every start where a sliding count of shared shingles reaches that
+  number. This prunes exactly, also for insertions and reorderings: all
+  shingles of all documents are looked up, and no other window can reach it.
+  Of equally similar windows, those go first in which a shared shingle lines up
+  with an item's start (clipped to the document), then the earlier one.
 * Windows and items get 64-bit SimHash fingerprints, which are cut into
   RADIUS + 1 blocks. Two fingerprints within RADIUS bits agree in a whole
   block, so joining on (item size, block number, block bits) finds every pair
@@ -22,7 +24,7 @@ The items' shingles are the only broadcast, below ``MAX_BROADCAST`` rows;
 beyond, the planner shuffles. Only documents with a shared shingle are read
 again. Null or blank texts and items match nothing; a null doc_id is kept;
 repeated rows count once in the pairs. An item that a third of all documents
-hold costs one window for each of them.
+hold costs each of them about a seventh of its length in windows to both sides.
 """
 
 from __future__ import annotations
@@ -70,6 +72,18 @@ def similarity(a: str, b: str) -> Column:
     return least / (F.size(a) + F.size(b) - least)
 
 
+def starts(least: float) -> Column:
+    """Every start whose window can reach ``least``, in order. ``p``: sorted
+    positions of a document's shingles that items of ``n_words`` words hold;
+    with r of them needed, p[i] and p[i + r - 1] lie in the windows that start
+    from p[i + r - 1] - size + 1 to p[i]. A range begins after the one before."""
+    return F.expr(f"""transform(array(struct(least(m, n_words) - gram + 1 AS size, greatest(0, m - n_words) AS top,
+        greatest(1, CAST(ceil({least / (1 + least)!r}D * (least(m, n_words) + n_words - 2 * gram + 2) - 1e-6D) AS INT)) AS r)), k ->
+        flatten(transform(filter(transform(sequence(0, greatest(0, size(p) - k.r)), i -> struct(
+            greatest(0, get(p, i + k.r - 1) - k.size + 1, coalesce(get(p, i - 1) + 1, 0)) AS a, least(get(p, i), k.top) AS b)),
+            x -> x.a <= x.b AND k.r <= size(p)), x -> sequence(x.a, x.b))))[0]""")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, h, item_id, start_word, similarity): the best window of each
     pair of a document and an item that match; ``h`` is the text's hash, which
@@ -87,19 +101,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
     def lookup(g: int) -> DataFrame:
         seen = (rows.select("doc_id", F.xxhash64("text").alias("h"), words("text").alias("w"))
                 .select("doc_id", "h", F.size("w").alias("m"), F.posexplode(shingles("w", g)).alias("pos", "shingle")))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("m") - F.col("n_words")))
-        return seen.join(known.filter(F.col("gram") == g).drop("gram"), "shingle").select("doc_id", "h", "n_words", F.lit(g).alias("gram"), start.alias("start"))
+        lined = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("m") - F.col("n_words")))
+        return (seen.join(known.filter(F.col("gram") == g).drop("gram"), "shingle")
+                .select("doc_id", "h", "m", "n_words", F.lit(g).alias("gram"), "pos", lined.alias("lined")))
 
-    places = None
+    hits = None
     for g in grams or [n]:
-        places = lookup(g) if places is None else places.union(lookup(g))
-    places = written(places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n_words", "gram")).alias("windows")), "windows")
-    again = (rows.withColumn("h", F.xxhash64("text")).join(places, ["doc_id", "h"])
-             .select("doc_id", "h", words("text").alias("w"), F.explode("windows").alias("x")).select("doc_id", "h", "w", "x.*"))
-    again = again.withColumn("w", F.slice("w", F.col("start") + 1, F.col("n_words")))
-    cut = F.coalesce(*[F.when(F.col("gram") == g, shingles("w", g)) for g in grams or [n]])
+        hits = lookup(g) if hits is None else hits.union(lookup(g))
+    hits = hits.groupBy("doc_id", "h", "m", "n_words", "gram").agg(F.sort_array(F.collect_set("pos")).alias("p"), F.collect_set("lined").alias("lined"))
+    places = written(hits.select("doc_id", "h", "n_words", "gram", "lined", starts(least).alias("starts")).filter(F.size("starts") > 0), "windows")
+    again = rows.withColumn("h", F.xxhash64("text")).join(places, ["doc_id", "h"]).select("doc_id", "h", "n_words", "gram", "lined", "starts", words("text").alias("w"))
+    own = F.coalesce(*[F.when(F.col("gram") == g, shingles("w", g)) for g in grams or [n]])
+    again = again.select("doc_id", "h", "n_words", "gram", "lined", "starts", own.alias("own"))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), F.array_contains("lined", s).alias("line"),
+                                                    F.slice("own", s + 1, F.col("n_words") - F.col("gram") + 1).alias("window")))
+    again = again.select("doc_id", "h", "n_words", F.explode(cut).alias("x"))
     # tables end the expressions here, or they would be copied into each use
-    cut = written(again.select("doc_id", "h", "start", "n_words", cut.alias("window")), "cuts")
+    cut = written(again.select("doc_id", "h", "x.start", "x.line", "n_words", "x.window"), "cuts")
     windows = written(cut.withColumn("simhash", fingerprint("window")), "fingerprints")
     marked = written(items.filter(F.size("bag") > 0).withColumn("simhash", fingerprint("bag")), "item-fingerprints")
     side = windows.withColumn("x", F.explode(blocks(radius))).select("*", "x.number", "x.bits").drop("x")
@@ -110,9 +128,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: f
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
     differ = F.col("simhash").bitwiseXOR(F.col("item_simhash"))
     first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))])
-    near = written(near.filter(F.col("number") == first).select("doc_id", "h", "start", "item_id", "window", "bag"), "candidates")
+    near = written(near.filter(F.col("number") == first).select("doc_id", "h", "start", "line", "item_id", "window", "bag"), "candidates")
     scored = near.withColumn("similarity", similarity("window", "bag")).filter(F.col("similarity") >= least)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b")
+    best = F.max(F.struct("similarity", "line", (-F.col("start")).alias("s"))).alias("b")
     return (scored.groupBy("doc_id", "h", "item_id").agg(best)
             .select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "h", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.similarity").alias("similarity")))
 

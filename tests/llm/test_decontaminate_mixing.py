@@ -80,6 +80,34 @@ def test_near_and_exact_leaks(spark):
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_insertions_and_reorderings(spark):
+    rnd = random.Random(17)
+    fill = lambda k: [f"f{rnd.randrange(10**6)}" for _ in range(k)]
+    items = [(i, " ".join(f"i{i}w{rnd.randrange(60)}" for _ in range(n))) for i, n in enumerate([100, 60, 60, 40, 25, 12, 100])]
+    a, b = items[0][1].split(), items[1][1].split()
+    docs = [(0, fill(30) + fill(4) + a[4:50] + fill(8) + a[50:96] + fill(4) + fill(30)), (1, fill(30) + b[30:] + b[:30] + fill(30)), (2, b[30:] + b[:30])]
+    for d in range(3, 150):
+        leak = rnd.choice(items)[1].split()
+        at, size = rnd.randrange(len(leak)), rnd.randrange(1, 9)
+        kind = d % 4
+        if kind == 0:
+            leak[at:at] = fill(size)
+        elif kind == 1:
+            leak = leak[at:] + leak[:at]
+        elif kind == 2:
+            del leak[at:at + size]
+        else:
+            leak = leak[:at] + leak[at // 2:]
+        docs.append((d, fill(rnd.choice([0, 0, 3, 40])) + leak + fill(rnd.choice([0, 0, 3, 40]))))
+    docs = [(d, " ".join(w)) for d, w in docs]
+    df = spark.createDataFrame([(d, t, "s", "h", "n") for d, t in docs], DOCS).repartition(3)
+    found = D.contaminated(df, spark.createDataFrame(items, ITEMS)).collect()
+    want = brute(docs, items)
+    assert {(0, 0), (1, 1), (2, 1)} < want and {(r["doc_id"], r["item_id"]) for r in found} == want
+    best = {(r["doc_id"], r["item_id"]): (r["start_word"], round(r["similarity"], 3)) for r in found}
+    assert best[0, 0] == (34, 0.778) and best[1, 1][1] == 0.867
+
+
 def test_blocks_find_every_pair_within_the_radius(spark):
     rnd = np.random.default_rng(3)
     pairs = []
