@@ -23,8 +23,9 @@ earlier (smaller doc_id, or the same document at an earlier byte).
   line that a third of all documents hold) is hot: its suffixes go to the
   bucket of their context, and its windows each to a bucket of their own.
 
-Fingerprints have 64 bits: two different contexts or windows are taken as
-equal with a chance of about n * n / 2**65 over n compared ones.
+Fingerprints of contexts and windows have 64 bits, all of which are compared
+(for contexts, 32 bits of their q-gram besides): two different ones are taken
+as equal with a chance of about n * n / 2**65 over n compared ones.
 
 Nulls count as empty texts; a null doc_id sorts first. Repeated rows are one
 document and get the same answer; rows with one id and different texts are
@@ -52,19 +53,21 @@ HIGH = np.uint64(0xFFFFFFFF00000000)
 _U = np.uint64
 MOVED = "kind byte, bucket int, body binary"
 GONE, SUFFIX, FINE, BY_CONTEXT, FINE_HOT, CONTEXT, WINDOW = range(7)
+# code: of a window, its fingerprint; of a context, 32 bits of its q-gram's and
+# the upper half of its own, whose lower half is ``more``
 # n: windows after the first (MARK: the q-gram is hot); slot: the q-gram's bucket
-ENTRY = np.dtype([("code", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u1"), ("slot", "<u4")])
+ENTRY = np.dtype([("code", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("at", "<i8"), ("n", "<u1"), ("slot", "<u4")])
 MARK = 255
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
-    """(row, first window, last window, code, q-gram, spans) of the anchors of a chunk;
-    windows are byte positions in ``data``."""
+    """(row, first window, last window, code, more, q-gram, spans) of the anchors of
+    a chunk; windows are byte positions in ``data``."""
     room = np.diff(offsets) - length + 1
     starts = offsets[:-1][room > 0]
     empty = np.zeros(0, np.int64)
     if not len(starts):
-        return empty, empty, empty, np.zeros(0, _U), np.zeros(0, _U), None
+        return empty, empty, empty, np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, _U), None
     spans = Spans(data)
     grams = spans.fixed(len(data) - q + 1, q)
     bits = int(len(data)).bit_length()
@@ -83,18 +86,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int):
     context = mix(spans.raw(first, last + length) + (at - first).astype(_U) * _U(0x9FB21C651E98DF25)
                   + (last - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
     code = (grams[at] << _U(32)) | (context >> _U(32))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, code, grams[at], spans
+    return np.searchsorted(offsets, first, "right") - 1, first, last, code, context.astype(np.uint32), grams[at], spans
 
 
 def _order(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["at"], e["doc"], e["code"]))]
+    return e[np.lexsort((e["at"], e["doc"], e["more"], e["code"]))]
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted arrays in one, in the order of (code, more)."""
+    e = np.concatenate(parts)
+    e = e[np.argsort(e["code"], kind="stable")]
+    if (e["code"][1:] == e["code"][:-1]).any():
+        e = e[np.lexsort((e["more"], e["code"]))]
+    return e
 
 
 def _split(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of each code, and the others."""
+    """The first entry of each (code, more), and the others."""
     e = _order(e)
     first = np.ones(len(e), bool)
-    first[1:] = e["code"][1:] != e["code"][:-1]
+    first[1:] = (e["code"][1:] != e["code"][:-1]) | (e["more"][1:] != e["more"][:-1])
     return e[first], e[~first]
 
 
@@ -186,9 +198,9 @@ def _scan(batch: pa.RecordBatch, length: int, q: int, n: int):
     for a, b in chunks(offsets):
         at = offsets[a:b + 1] - offsets[a]
         part = data[offsets[a]:offsets[b]]
-        row, first, last, code, gram, spans = anchors(part, at, length, q)
+        row, first, last, code, more, gram, spans = anchors(part, at, length, q)
         e = np.empty(len(row), ENTRY)
-        e["code"], e["doc"], e["n"], e["slot"] = code, docs[a:b][row], last - first, gram % _U(n)
+        e["code"], e["more"], e["doc"], e["n"], e["slot"] = code, more, docs[a:b][row], last - first, gram % _U(n)
         e["at"] = base[a:b][row] + first - at[row]
         yield e, part, spans, first
 
@@ -225,13 +237,21 @@ class Levels:
         self.levels: list[np.ndarray] = []
 
     def add(self, new: np.ndarray) -> np.ndarray:
-        """Merge-scan ``new`` (sorted, each code once) against every level;
+        """Merge-scan ``new`` (sorted, each (code, more) once) against every level;
         returns the entries found to be later copies."""
         later = []
         for level in self.levels:
-            at = np.searchsorted(level["code"], new["code"])
+            at, codes, more = np.searchsorted(level["code"], new["code"]), level["code"], level["more"]
             at[at == len(level)] = 0
-            hit = level["code"][at] == new["code"]
+            hit = codes[at] == new["code"]
+            on = np.flatnonzero(hit & (more[at] < new["more"]))
+            while len(on):  # past other contexts of the same code
+                at[on] += 1
+                hit[on] = at[on] < len(level)
+                at[on[~hit[on]]] = 0
+                hit[on] &= codes[at[on]] == new["code"][on]
+                on = on[hit[on] & (more[at[on]] < new["more"][on])]
+            hit &= more[at] == new["more"]
             if hit.any():
                 old, mine = level[at[hit]], new[hit]
                 newer = (mine["doc"] > old["doc"]) | ((mine["doc"] == old["doc"]) & (mine["at"] > old["at"]))
@@ -240,15 +260,13 @@ class Levels:
                 level[at[hit][~newer]] = mine[~newer]
                 new = new[~hit]
         while self.levels and len(self.levels[-1]) <= 2 * len(new):
-            both = np.concatenate([self.levels.pop(), new])
-            new = both[np.argsort(both["code"], kind="stable")]
+            new = _merged([self.levels.pop(), new])
         if len(new):
             self.levels.append(new)
         return np.concatenate(later) if later else np.empty(0, ENTRY)
 
     def all(self) -> np.ndarray:
-        both = np.concatenate(self.levels) if self.levels else np.empty(0, ENTRY)
-        return both[np.argsort(both["code"], kind="stable")]
+        return _merged(self.levels or [np.empty(0, ENTRY)])
 
 
 def _family(bodies: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

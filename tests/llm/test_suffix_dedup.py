@@ -94,3 +94,34 @@ def test_hot_line_with_different_neighbours(spark):
     rows = [(d, "".join(rnd.choice("abcdefg hij") for _ in range(rnd.randrange(150))) + line + "".join(rnd.choice("abcdefg hij") for _ in range(rnd.randrange(150)))) for d in range(500)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
     assert got(remove_repeats(df)) == brute(rows, 100)
+
+
+def test_unique_contexts_of_one_line_stay():
+    import numpy as np
+    import pyarrow as pa
+
+    from ordinal_spark.llm import suffix_dedup as S
+
+    n = 300_000  # 32 bits of a context's fingerprint agree for some of them
+    rnd = np.random.default_rng(5)
+    line = "All of this may be used by anybody who reads it and who passes it on, without any fee at all.."[:90]
+    ends = rnd.integers(97, 123, (n, 10), np.uint8)
+    texts = list({f"{b[:5].decode()}{line}{b[5:].decode()}" for b in map(bytes, ends)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "version", "text"])
+    e = np.concatenate([x[0].copy() for x in S._scan(batch, 100, 24, 8)])
+    assert len(e) == len(texts) and (np.unique(e["code"] & S.HIGH, return_counts=True)[1].max() > n // 2)
+    first, again = S._split(e)
+    assert len(first) == len(texts) and not len(again)
+    family = Levels()
+    for part in np.array_split(e, 7):
+        assert not len(family.add(S._order(part)))
+    kept = family.all()
+    assert len(kept) == len(texts)
+    again = e[::1000].copy()
+    again["doc"] += 10**9
+    later = family.add(S._order(again))
+    assert sorted(later["doc"]) == sorted(again["doc"])
+    same = np.flatnonzero(kept["code"][1:] == kept["code"][:-1])
+    twins = kept[np.union1d(same, same + 1)].copy()  # contexts that share a code
+    twins["doc"] += 10**9
+    assert len(twins) and len(family.add(S._order(twins))) == len(twins)
