@@ -182,3 +182,25 @@ def test_boosting_on_points_equals_boosting_on_rows():
     b = boost(points, np.bincount(back.ravel(), y) / n, n, 30, 0.1, 3, 6.0)
     assert np.allclose(log_odds(a, points), log_odds(b, points), atol=1e-4)
     assert np.mean((log_odds(b, x) > 0) == y) > 0.75
+
+
+@pytest.mark.parametrize("depth", [0, 3])
+def test_boosting_beyond_one_task_equals_boosting_in_one(spark, monkeypatch, depth):
+    import numpy as np
+
+    from ordinal_spark.models import boosting as B
+
+    df = spark.range(0, 900).select(((F.col("id") * 7919) % 4 + 1).cast("int").alias("y"), (F.col("id") * 7919 % 4 * 2 + F.floor(F.rand(3) * 5)).alias("x1"),
+                                    F.floor(F.rand(5) * 400).alias("x2"), F.lit(1).alias("x3")).repartition(3).cache()
+    names = ["x1", "x2", "x3"][2 if depth == 0 else 0:]
+    how = (df, names, "y", [1, 2, 3, 4], 4, 0.3, depth, 6.0)
+    monkeypatch.setattr(B, "ROUNDS_HELD", 3)
+    whole = B.fit_thresholds(*how)
+    monkeypatch.setattr(B, "MAX_POINTS", 3 if depth else 0)
+    parts = B.fit_thresholds(*how)
+    x = np.array(df.select(*names).collect(), float)
+    for a, b in zip(whole, parts):
+        assert all(np.array_equal(c, d) for c, d in zip(a["cuts"], b["cuts"]))
+        assert np.allclose(B.log_odds(a, x), B.log_odds(b, x), atol=1e-3)
+        assert np.allclose(a["importance"], b["importance"], atol=1e-3)
+    assert len(parts) == 3
