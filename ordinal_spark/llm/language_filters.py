@@ -15,9 +15,12 @@ letters of the lower-cased text, with a blank for anything between words.
   The language with the largest corrected count wins; the score is its part of
   the sum of the corrected counts.
 
-The table has at most ``MAX_SLOTS`` slots (a broadcast of a bounded size); if
-n-grams outgrow it, the filters' false positives rise and the correction with
-them. Any number of languages takes ceil(languages / 64) words a slot.
+The table has at most ``MAX_SLOTS`` slots (a broadcast of a bounded size). If
+a language's n-grams outgrow it (``SLOTS_EACH`` slots each), texts' n-grams are
+joined to the learned ones instead and counted exactly; a common n-gram is left
+to AQE's skew join. Any number of languages takes ceil(languages / 64) words a
+slot. N-grams seen fewer than ``LEAST`` times do not count in a language of
+``ENOUGH`` n-grams in all; a language taught by less keeps all of its own.
 
 Training documents have a language and crc32(doc_id as text) mod ``folds``
 other than 1; null ids do not train. Texts that are null or without letters
@@ -39,6 +42,7 @@ from .text import chunks, flat, mix
 
 SIZE, FOLDS, RATIO, LEAST = 3, 3, 0.1, 2
 HASHES, SLOTS_EACH, MAX_SLOTS = 3, 16, 1 << 22
+ENOUGH = 1000
 FLUSH = 1 << 20
 _U = np.uint64
 _letter: np.ndarray | None = None
@@ -116,7 +120,8 @@ def _sum(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame, size: int = SIZE) -> dict:
     """The filter table from (lang, text) rows: languages, mask table, and the
-    false-positive rate of each language's filter."""
+    false-positive rate of each language's filter; or, in place of the table,
+    ``held``: the (gram, number) rows that no table can hold."""
     spark = docs.sparkSession
     counts = (docs.mapInArrow(_counted(size), "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -129,9 +134,12 @@ def learn(docs: DataFrame, size: int = SIZE) -> dict:
     known = spark.createDataFrame([(r["lang"], i, r["total"]) for i, r in enumerate(totals)], "lang string, number int, total long")
     rated = counts.join(known, "lang").withColumn("rate", F.col("n") / F.col("total"))
     rated = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
-    held = written(rated.filter((F.col("n") >= LEAST) & (F.col("rate") >= RATIO * F.col("most"))).select("gram", "number"), "held")
+    held = written(rated.filter(((F.col("n") >= LEAST) | (F.col("total") < ENOUGH)) & (F.col("rate") >= RATIO * F.col("most"))).select("gram", "number"), "held")
+    sizes = [r["count"] for r in held.groupBy("number").count().collect()]  # one row a language
+    if SLOTS_EACH * max(sizes, default=0) > MAX_SLOTS:
+        return {"langs": langs, "size": size, "held": held}
     n_slots = 1 << 10
-    while n_slots < min(MAX_SLOTS, SLOTS_EACH * held.count()):
+    while n_slots < min(MAX_SLOTS, SLOTS_EACH * sum(sizes)):
         n_slots *= 2
     table = np.zeros((n_slots, words), _U)
     for r in (held.coalesce(64).mapInArrow(_marked(n_slots, words), "block int, body binary").groupBy("block")
@@ -196,12 +204,46 @@ def _decided(shared):
     return run
 
 
+def _text_grams(size: int):
+    """(a, b, gram, n) of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = flat(batch.column("text"))
+            for i, j in chunks(offsets):
+                part = batch.slice(i, j - i)
+                code, each = grams([t or "" for t in part.column("text").to_pylist()], size)
+                owner = np.repeat(np.arange(j - i), each)
+                by = np.lexsort((code, owner))
+                code, owner = code[by], owner[by]
+                at = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])) if len(code) else np.zeros(0, np.int64)
+                a, b = (part.column(c).to_numpy()[owner[at]] for c in "ab")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, code[at].astype(np.int64), np.diff(np.append(at, len(code))))], names=["a", "b", "gram", "n"])
+    return run
+
+
+def _joined(docs: DataFrame, model: dict) -> DataFrame:
+    """What ``decide`` says with filters that never answer wrongly."""
+    langs = model["langs"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit(1), "text"))
+    counted = rows.select("a", "b", "text").dropDuplicates(["a", "b"]).mapInArrow(_text_grams(model["size"]), "a long, b long, gram long, n long")
+    seen = counted.join(model["held"], "gram", "left").groupBy("a", "b", "number").agg(F.sum("n").alias("n"))
+    known = F.when(F.col("number").isNotNull(), F.col("n"))
+    best = F.max(F.when(F.col("number").isNotNull(), F.struct("n", (-F.col("number")).alias("k")))).alias("best")
+    of = seen.groupBy("a", "b").agg(best, F.sum(known).alias("total"))
+    named = F.element_at(F.array(*map(F.lit, langs)), 1 - F.coalesce("best.k", F.lit(0)).cast("int"))
+    of = written(of.select("a", "b", named.alias("lang_pred"), F.coalesce(F.col("best.n") / F.col("total"), F.lit(1 / len(langs))).alias("score")), "decided")
+    return rows.join(of, ["a", "b"], "left").select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def identify(docs: DataFrame, folds: int = FOLDS, size: int = SIZE) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text,
     lang), learned from its rows outside fold 1."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     training = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != 1)).select("lang", "text")
-    model = docs.sparkSession.sparkContext.broadcast(learn(training, size))
+    learned = learn(training, size)
+    if "held" in learned:
+        return _joined(docs.select("doc_id", "text"), learned)
+    model = docs.sparkSession.sparkContext.broadcast(learned)
     return docs.select("doc_id", "text").mapInArrow(_decided(model), "doc_id long, lang_pred string, score double")
 
 

@@ -55,3 +55,32 @@ def test_many_languages_and_edges(spark):
     nothing = identify(spark.createDataFrame([(1, "abc", None, None, None)], SCHEMA)).collect()
     assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_grams_beyond_the_table_are_joined(spark, monkeypatch):
+    import random
+
+    from ordinal_spark.llm import language_filters as L
+
+    rnd = random.Random(4)
+    text = lambda first, n: "".join(chr(first + rnd.randrange(200)) for _ in range(n))
+    rows = [(i, text(0x4E00 if i % 2 else 0x5200, 3000), "ab"[i % 2], "g", "t") for i in range(40)] + [(100, None, "a", "g", "t"), (None, "?! 42", "b", "g", "t")]
+    rows += [(200 + i, rows[i][1][:40], None, "g", "t") for i in range(12)] + [(200, rows[0][1][:40], None, "g", "t"), (300, "xyz", None, "g", "t")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(L, "LEAST", 1)
+    want = {str(r[0]): (r[1], r[2]) for r in identify(df).collect()}
+    monkeypatch.setattr(L, "MAX_SLOTS", 1 << 10)
+    out = identify(df).collect()
+    got = {str(r[0]): (r[1], r[2]) for r in out}
+    assert len(out) == len(rows) and set(got) == set(want) and got["100"] == got["None"] == ("und", 0.0)
+    for i in range(40):
+        if zlib.crc32(str(i).encode()) % 3 != 1:  # learned: a full filter finds both languages in any text
+            for d in [i, 200 + i][:1 + (i < 12)]:
+                assert got[str(d)][0] == want[str(d)][0] == "ab"[i % 2] and got[str(d)][1] > 0.99 and abs(got[str(d)][1] - want[str(d)][1]) < 0.1
+
+
+def test_language_of_one_short_text(spark):
+    from ordinal_spark.llm import language_filters as L
+
+    model = learn(spark.createDataFrame([("xx", "abcdefg"), ("yy", "cdc ddc cdcd " * 200)], "lang string, text string"))
+    assert L.decide(["abcdefg"], model)[0] == ["xx"]
