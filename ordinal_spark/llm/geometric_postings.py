@@ -42,9 +42,9 @@ from .frames import documents, text_rows, written
 from .text import ragged
 
 TOP = 10
-BLOCK = 64                      # postings of a block, on average
+BLOCK, SHORT = 128, 16          # postings of a block, on average; a list of so few is scored without a summary
 SHARD_DOCUMENTS = 4096          # at most, and fewer where a batch has many terms:
-SHARD_CELLS = 1 << 23           # documents times terms of a shard
+SHARD_CELLS = 1 << 24           # documents times terms of a shard
 BATCH_TERMS = 4096              # distinct terms from which on another index serves the next queries
 FIRST = 16                      # one shard in so many is searched first
 PROJECTED, SEED = 24, 11
@@ -53,7 +53,7 @@ PIECE = 1 << 20                 # bytes of a text that are split at once
 COUNTED = "doc_id long, n long, terms binary, counts binary"
 SHARDS = "shard long, body binary"
 FOUND = "q int, doc_id long, score long"
-_LOW_ID = -(1 << 63)
+_LOW_ID, _MOST = -(1 << 63), (1 << 63) - 1
 # every byte that is in no term is a blank, A-Z are lower-cased
 TABLE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -102,7 +102,7 @@ def _documents_with(width: int):
 class Shard:
     """Documents with their parts of scores, and the blocks of their postings."""
 
-    NAMES = ("ids", "sizes", "terms", "parts", "block_term", "block_size", "members", "summary_size", "summary_block", "summary")
+    NAMES = ("ids", "sizes", "terms", "parts", "block_term", "block_size", "members", "held", "summary")
 
     def __init__(self, **arrays: np.ndarray) -> None:
         self.__dict__.update(arrays)
@@ -165,37 +165,31 @@ def build_shard(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, parts: np
     new[1:] = (own[1:] != own[:-1]) | (of_term[1:] != of_term[:-1])
     begin = np.flatnonzero(new)
     block_size = np.diff(np.append(begin, len(members)))
-    of, in_block, summary = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    at = 0
-    together = max(1, SHARD_CELLS // max(1, width))  # postings whose vectors are taken at once
-    while at < len(begin):
-        end = max(at + 1, int(np.searchsorted(begin, begin[at] + together, "right")) - 1)
-        end = len(begin) if begin[at] + together >= len(members) else end
-        stop = begin[end] if end < len(begin) else len(members)
-        most = np.maximum.reduceat(rough[members[begin[at]:stop]], begin[at:end] - begin[at], axis=0)
-        row, term = np.nonzero(most)
-        of.append(term)
-        in_block.append(row + at)
-        summary.append(most[row, term])
-        at = end
-    # summaries by term: a query reads those of its terms
-    of_all = np.concatenate(of)
-    by = np.argsort(of_all.astype(np.uint16 if width <= 1 << 16 else np.int64), kind="stable")
+    # a summary for each block of the longer lists, then turned: a query reads those of its terms
+    stop = begin + block_size
+    long = np.flatnonzero(length[of_term[begin]] > SHORT)
+    most = np.zeros((len(long), width), np.uint8)
+    for row, b in enumerate(long.tolist()):
+        rough[members[begin[b]:stop[b]]].max(axis=0, out=most[row])
+    turned = np.ascontiguousarray(most.T)
+    held = turned > 0
     return Shard(ids=ids, sizes=sizes, terms=terms, parts=parts, block_term=of_term[begin], block_size=block_size, members=members,
-                 summary_size=np.bincount(of_all, minlength=width), summary_block=np.concatenate(in_block)[by], summary=np.concatenate(summary)[by])
+                 held=np.packbits(held), summary=turned[held])
 
 
 def search_shard(shard: Shard, weights: np.ndarray, queries: list[np.ndarray], floors: np.ndarray, top: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int]:
     """(query, document ids, scores) of the best of a shard that reach the
-    floors, and how many blocks were scored."""
+    floors, and how many blocks were scored. Scores are below 2**53."""
     n, width = len(shard.ids), len(weights)
     docs = np.repeat(np.arange(n), shard.sizes)
     parts = np.zeros((n, width), np.int32)
     parts[docs, shard.terms] = shard.parts
-    blocks, column = len(shard.block_term), np.cumsum(shard.summary_size) - shard.summary_size
+    length = np.bincount(shard.terms, minlength=width)
+    long = np.flatnonzero(length[shard.block_term] > SHORT)
+    most = np.zeros((width, len(long)), np.uint8)
+    most[np.unpackbits(shard.held.astype(np.uint8), count=most.size).reshape(most.shape) == 1] = shard.summary
     first = np.searchsorted(shard.block_term, np.arange(width + 1))
     begin = np.cumsum(shard.block_size, dtype=np.int64) - shard.block_size
-    length = np.bincount(shard.terms, minlength=width)
     tallest = np.zeros(width, np.int64)
     np.maximum.at(tallest, shard.terms, shard.parts.astype(np.int64))
     out, read = [], 0
@@ -206,32 +200,30 @@ def search_shard(shard: Shard, weights: np.ndarray, queries: list[np.ndarray], f
         terms = terms[np.argsort(length[terms], kind="stable")]
         w = weights[terms]
         rest = np.cumsum((w * tallest[terms])[::-1])[::-1]  # what the terms from here on can add up to
-        # what any document of a block can reach
-        at = ragged(column[terms], shard.summary_size[terms])
-        bound = STEP * np.bincount(shard.summary_block[at], shard.summary[at] * np.repeat(w, shard.summary_size[terms]), blocks).astype(np.int64)
+        # what any document of a block can reach; short lists are always read
+        bound = np.full(len(shard.block_term), _MOST)
+        bound[long] = STEP * (w.astype(np.float64) @ most[terms]).astype(np.int64)
         floor, held = max(1, int(floors[q])), 0
         seen = np.zeros(n, bool)
         chosen, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for i, t in enumerate(terms):
-            if rest[i] < floor:
-                break
-            mine = np.arange(first[t], first[t + 1])
-            # the most promising block first, for its scores raise the floor
-            for some in (mine[[bound[mine].argmax()]], mine):
-                some = some[bound[some] >= floor]
-                if not len(some):
-                    break
-                read += len(some)
-                new = shard.members[ragged(begin[some], shard.block_size[some])]
-                new = np.unique(new[~seen[new]])
-                seen[new] = True
-                value = parts[np.ix_(new, terms)].astype(np.int64) @ w
-                fit = value >= floor
-                chosen, score = np.concatenate([chosen, new[fit]]), np.concatenate([score, value[fit]])
-                best = np.lexsort((shard.ids[chosen], -score))[:top]
-                chosen, score, held = chosen[best], score[best], len(best)
-                if held == top:
-                    floor = max(floor, int(score[-1]))
+        at, step = 0, 1
+        while at < len(terms) and rest[at] >= floor:
+            mine = ragged(first[terms[at:at + step]], first[terms[at:at + step] + 1] - first[terms[at:at + step]])
+            mine = mine[bound[mine] >= floor]
+            read += len(mine)
+            new = shard.members[ragged(begin[mine], shard.block_size[mine])]
+            fresh = np.zeros(n, bool)
+            fresh[new] = True
+            new = np.flatnonzero(fresh & ~seen)
+            seen[new] = True
+            value = parts[np.ix_(new, terms)].astype(np.float64) @ w
+            fit = value >= floor
+            chosen, score = np.concatenate([chosen, new[fit]]), np.concatenate([score, value[fit].astype(np.int64)])
+            best = np.lexsort((shard.ids[chosen], -score))[:top]
+            chosen, score, held = chosen[best], score[best], len(best)
+            if held == top:
+                floor = max(floor, int(score[-1]))
+            at, step = at + step, 2 * step  # more lists at once, as the floor settles
         if held:
             out.append((q, shard.ids[chosen], score))
     return out, read
