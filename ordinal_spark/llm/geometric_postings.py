@@ -44,7 +44,7 @@ from .text import ragged
 TOP = 10
 BLOCK, SHORT = 128, 16          # postings of a block, on average; a list of so few is scored without a summary
 SHARD_DOCUMENTS = 4096          # at most, and fewer where a batch has many terms:
-SHARD_CELLS = 1 << 24           # documents times terms of a shard
+SHARD_CELLS = 1 << 23           # documents times terms of a shard
 BATCH_TERMS = 4096              # distinct terms from which on another index serves the next queries
 FIRST = 16                      # one shard in so many is searched first
 PROJECTED, SEED = 24, 11
@@ -116,7 +116,8 @@ class Shard:
         sizes = np.frombuffer(body, "<i8", 2 * len(cls.NAMES)).reshape(-1, 2)
         at, out = 8 * sizes.size, {}
         for name, (n, width) in zip(cls.NAMES, sizes.tolist()):
-            out[name] = np.frombuffer(body, "<i8" if width == 8 else f"<u{width}", n, at).astype(np.int64)
+            own = np.frombuffer(body, "<i8" if width == 8 else f"<u{width}", n, at)
+            out[name] = own if name in ("held", "summary") else own.astype(np.int64)
             at += n * width
         return cls(**out)
 
@@ -187,7 +188,7 @@ def search_shard(shard: Shard, weights: np.ndarray, queries: list[np.ndarray], f
     length = np.bincount(shard.terms, minlength=width)
     long = np.flatnonzero(length[shard.block_term] > SHORT)
     most = np.zeros((width, len(long)), np.uint8)
-    most[np.unpackbits(shard.held.astype(np.uint8), count=most.size).reshape(most.shape) == 1] = shard.summary
+    most[np.unpackbits(shard.held, count=most.size).reshape(most.shape).view(bool)] = shard.summary
     first = np.searchsorted(shard.block_term, np.arange(width + 1))
     begin = np.cumsum(shard.block_size, dtype=np.int64) - shard.block_size
     tallest = np.zeros(width, np.int64)
