@@ -11,22 +11,18 @@ Exact k nearest neighbours without emitting all pairs of a class:
 * Rows with identical features collapse into one *point* with a multiplicity;
   neighbours are found between points (a row's own duplicates are its
   distance-0 neighbours).
-* Points with the same categories form one *signature*, in which distance is
-  one-dimensional: the k nearest rows lie among the k + 1 points before and
-  the k + 1 after a score. So points are never paired; signatures are, and a
-  point gets at most 2k + 2 candidates from each signature near its own. The
-  number of signatures is bounded by the closed category lists.
-* Pigeonhole blocking finds near signatures: cut the F categorical features
-  into h+1 groups; two signatures within Hamming distance h agree on at least
-  one group, so one equi-join on (radius, group, values) returns them all, and
-  no point outside is nearer than (h+1) Med^2.
-* Pass 1 (radius 1, two halves of the features): points whose k-th distance
-  is below 2 Med^2 are finished. For the rest the k rows found bound the k-th
-  distance by ub, and any true neighbour has H Med^2 <= ub.
-* Pass 2 searches the signatures of open points at radius
-  h* = floor(ub / Med^2) (the largest of their open points), dropping
-  candidates beyond ub: exact by the two facts above. A point without k rows
-  in pass 1 looks at all signatures of its class.
+* Categories become codes (closed lists, so a dictionary is small) packed into
+  longs: the *signature*. Points are searched in Hamming rings: ring h holds
+  the points that differ in exactly h features. For each choice of h features
+  the signature without them is a key, and the points of one key are sorted by
+  score; a point needs the k + 1 rows before and after it only, for what lies
+  beyond has k rows of the same key before it that are no farther. So no pairs
+  are made: a point has as many keys in ring h as there are choices of h
+  features, whatever the table's size.
+* A ring drops candidates beyond the k-th distance so far. A point is finished
+  when its k-th distance is below (h+1) Med^2, since all later rings start
+  there; only open points go on, and in a dense table few pass ring 2.
+* Equal distances (to 9 decimals) go by score and then by signature.
 
 Synthetic rows (imbalanced-learn convention): base row uniform among the
 class rows, neighbour uniform among its k neighbour rows, continuous value
@@ -37,10 +33,9 @@ number), so results are deterministic and identical across recomputation.
 
 from __future__ import annotations
 
+from itertools import combinations
 from typing import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,128 +50,145 @@ def _uniform(*parts) -> F.Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-def _blocks(sigs: DataFrame, cats: Sequence[str], rounds: Sequence[int]) -> DataFrame:
-    """Pigeonhole block keys: for round h the F categorical features are cut
-    into h+1 groups; each signature gets one (h, group, values) row per group.
-    Round F is the whole class (one empty group)."""
-    nf = len(cats)
+WORD = 62  # bits of a packed long
+
+
+class Signatures:
+    """Dictionary codes of the category columns (0: null), packed into longs of
+    equal fields, the first column in the highest field: comparing the longs
+    compares the values column by column."""
+
+    def __init__(self, rows: DataFrame, cats: Sequence[str]) -> None:
+        self.cats = list(cats)
+        found = rows.agg(*[F.collect_set(col(c)).alias(c) for c in cats]).first() if cats else {}  # closed lists
+        self.levels = {c: sorted(found[c]) for c in cats}
+        self.width = max([1, *(len(v).bit_length() for v in self.levels.values())])
+        self.each = WORD // self.width
+        self.words = [f"_w{i}" for i in range(max(1, -(-len(self.cats) // self.each)))]
+
+    def columns(self) -> list:
+        out = []
+        for i, name in enumerate(self.words):
+            packed = F.lit(0).cast("long")
+            for c in self.cats[i * self.each:(i + 1) * self.each]:
+                code = F.create_map(*[F.lit(x) for n, v in enumerate(self.levels[c], 1) for x in (v, n)])[col(c)] if self.levels[c] else F.lit(None)
+                packed = packed * (1 << self.width) + F.coalesce(code, F.lit(0)).cast("long")
+            out.append(packed.alias(name))
+        return out
+
+    def mask(self, features: Sequence[int]) -> list[int]:
+        """Bits of some features in each word."""
+        out = [0] * len(self.words)
+        for f in features:
+            word, place = divmod(f, self.each)
+            last = min(self.each, len(self.cats) - word * self.each) - 1
+            out[word] |= ((1 << self.width) - 1) << (self.width * (last - place))
+        return out
+
+    def differing(self, a: str, b) -> F.Column:
+        """How many features differ between the words ``a.*`` and ``b``'s."""
+        ones = sum(1 << (self.width * i) for i in range(self.each))
+        out = F.lit(0)
+        for w in self.words:
+            x = F.col(f"{a}{w}").bitwiseXOR(b[w])
+            folded = x
+            for shift in range(1, self.width):
+                folded = folded.bitwiseOR(F.shiftright(x, shift))
+            out = out + F.bit_count(folded.bitwiseAND(F.lit(ones)))
+        return out
+
+
+def _keys(points: DataFrame, sig: Signatures, ring: int) -> DataFrame:
+    """``points`` once for each choice of ``ring`` features, with its number
+    ``_choice`` and the words without them (``_k0``, ...)."""
     rows = []
-    for h in rounds:
-        groups = [list(g) for g in np.array_split(cats, h + 1) if len(g)] if h < nf else [[]]
-        for gi, g in enumerate(groups):
-            sig = F.to_json(F.struct(*[F.col(f"`{c}`") for c in g])) if g else F.lit("")
-            rows.append(F.struct(F.lit(h).alias("_h"), F.lit(gi).alias("_gi"), sig.alias("_sig")))
-    return (sigs.select("_y", "_sid", *[col(c) for c in cats], *[c for c in ("_hs",) if c in sigs.columns], F.explode(F.array(*rows)).alias("_b"))
-            .select("*", "_b.*").drop("_b"))
-
-
-def _signature_table(pts: DataFrame, cats: Sequence[str], *more) -> DataFrame:
-    """One row per (class, signature) with its points sorted by score."""
-    sid = F.to_json(F.struct(*[col(c) for c in cats])) if cats else F.lit("")
-    points = F.sort_array(F.collect_list(F.struct("_s", "_pid", "_m", *more))).alias("_pts")
-    return pts.withColumn("_sid", sid).groupBy("_y", "_sid", *[col(c).alias(c) for c in cats]).agg(points, F.first("_med").alias("_med"))
-
-
-def _near_rows(k: int):
-    """From pairs of signatures, each point of the first with the points of the
-    second among which its k nearest rows of that signature lie."""
-    reach = np.arange(-(k + 1), k + 1)
-
-    def run(batches):
-        for batch in batches:
-            pid, nb, d2, mult, ys, meds = [], [], [], [], [], []
-            for y, own, other, h, med in zip(*(batch.column(c).to_pylist() for c in ("_y", "_pa", "_pb", "_mism", "_med"))):
-                sb = np.array([p["_s"] for p in other])
-                mb = np.array([p["_m"] for p in other])
-                for p in own:
-                    at = np.searchsorted(sb, p["_s"]) + reach
-                    at = at[(at >= 0) & (at < len(sb))]
-                    far = (p["_s"] - sb[at]) ** 2 + med ** 2 * h
-                    ub = p.get("_ub")
-                    for i, d in zip(at.tolist(), far.tolist()):
-                        m = int(mb[i]) - (other[i]["_pid"] == p["_pid"])
-                        if m > 0 and (ub is None or d <= ub):
-                            pid.append(p["_pid"]), nb.append(other[i]["_pid"]), d2.append(d), mult.append(m), ys.append(y), meds.append(med)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, batch.schema.field("_y").type), pa.array(pid, pa.string()), pa.array(nb, pa.string()),
-                                              pa.array(d2, pa.float64()), pa.array(mult, pa.int64()), pa.array(meds, pa.float64())],
-                                             names=["_y", "_pid", "_nb", "_d2", "_mult", "_med"])
-    return run
-
-
-def _candidates(a: DataFrame, blocks_a: DataFrame, b: DataFrame, blocks_b: DataFrame, cats: Sequence[str], k: int) -> DataFrame:
-    """(point, candidate) rows of all signature pairs that share a block key."""
-    mism = F.lit(0)
-    for c in cats:
-        mism = mism + (~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))).cast("int")
-    pairs = (blocks_a.alias("a").join(blocks_b.alias("b"), ["_y", "_h", "_gi", "_sig"])
-             .select("_y", F.col("a._sid").alias("_a"), F.col("b._sid").alias("_o"), mism.alias("_mism")).distinct())
-    both = (pairs.join(a.select("_y", F.col("_sid").alias("_a"), F.col("_pts").alias("_pa"), "_med"), ["_y", "_a"])
-            .join(b.select("_y", F.col("_sid").alias("_o"), F.col("_pts").alias("_pb")), ["_y", "_o"]))
-    y = both.schema["_y"].dataType.simpleString()
-    return both.select("_y", "_pa", "_pb", "_mism", "_med").mapInArrow(
-        _near_rows(k), f"_y {y}, _pid string, _nb string, _d2 double, _mult bigint, _med double")
-
-
-def _take_k(cands: DataFrame, k: int) -> DataFrame:
-    """Neighbour rows in (distance, point id) order until k rows are covered;
-    a neighbour point may hold several rows (its multiplicity)."""
-    w = Window.partitionBy("_y", "_pid").orderBy("_d2", "_nb").rowsBetween(Window.unboundedPreceding, 0)
-    c = cands.withColumn("_ce", F.sum("_mult").over(w)).withColumn("_cs", F.col("_ce") - F.col("_mult"))
-    return c.where(F.col("_cs") < k)
+    for i, features in enumerate(combinations(range(len(sig.cats)), ring)):
+        rows.append(F.struct(F.lit(i).alias("_choice"), *[
+            F.col(w).bitwiseAND(F.lit(~m)).alias(f"_k{j}") for j, (w, m) in enumerate(zip(sig.words, sig.mask(features)))]))
+    return points.select("*", F.inline(F.array(*rows)))
+
+
+def _ring(points: DataFrame, open_: DataFrame, sig: Signatures, ring: int, k: int) -> DataFrame:
+    """(_y, _s, words, _found): for each open point its ``k`` best candidates at
+    Hamming distance ``ring`` that are within ``_ub``."""
+    key = ["_y", "_choice", *[f"_k{i}" for i in range(len(sig.words))]]
+    mine = _keys(open_.select("_y", "_s", *sig.words, "_med", "_ub"), sig, ring)
+    # rows of a key with one score: the k + 1 first by signature can matter
+    entries = _keys(points.select("_y", "_s", *sig.words, "_m"), sig, ring)
+    if ring:
+        entries = entries.join(mine.select(*key).distinct(), key, "left_semi")
+    same = Window.partitionBy(*key, "_s").orderBy(*sig.words)
+    entries = entries.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
+    runs = entries.groupBy(*key, "_s").agg(F.collect_list(F.struct("_s", *sig.words, "_m")).alias("_run"))
+    near = Window.partitionBy(*key).orderBy("_s").rowsBetween(-(k + 1), k + 1)
+    runs = runs.select(*key, "_s", F.flatten(F.collect_list("_run").over(near)).alias("_around"))
+    d2 = lambda x: F.round((F.col("_s") - x["_s"]) * (F.col("_s") - x["_s"]) + F.col("_med") * F.col("_med") * ring, 9)
+    cand = F.transform("_around", lambda x: F.struct(
+        d2(x).alias("_d2"), x["_s"].alias("_s"), *[x[w].alias(w) for w in sig.words],
+        (x["_m"] - (F.lit(ring == 0) & (x["_s"] == F.col("_s"))).cast("long")).alias("_m"),
+        sig.differing("", x).alias("_h")))
+    cand = F.filter(cand, lambda x: (x["_h"] == ring) & (x["_m"] > 0) & (F.col("_ub").isNull() | (x["_d2"] <= F.col("_ub"))))
+    best = F.slice(F.array_sort(cand), 1, k)
+    found = mine.join(runs, [*key, "_s"]).select("_y", "_s", *sig.words, best.alias("_found")).where(F.size("_found") > 0)
+    return found.groupBy("_y", "_s", *sig.words).agg(F.flatten(F.collect_list("_found")).alias("_found"))
+
+
+def _reach(near: str, k: int) -> F.Column:
+    """The distance at which ``k`` rows are covered; null if fewer are known."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d"))
+    step = lambda a, x: F.struct((a["n"] + x["_m"]).alias("n"), F.coalesce(a["d"], F.when(a["n"] + x["_m"] >= k, x["_d2"])).alias("d"))
+    return F.aggregate(near, start, step, lambda a: a["d"])
+
+
+def points_of(rows: DataFrame, label: str, cont: str, sig: Signatures) -> DataFrame:
+    """(_y, _s, words, cats, _m): the distinct points and their rows."""
+    return (rows.groupBy(col(label).alias("_y"), col(cont).alias("_s"), *[col(c).alias(c) for c in sig.cats])
+            .agg(F.count(F.lit(1)).alias("_m")).select("*", *sig.columns()))
+
+
+def point_id(sig: Signatures, score) -> F.Column:
+    return F.concat_ws("|", score.cast("string"), *[F.col(w).cast("string") for w in sig.words])
 
 
 def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str], k: int = 5,
-                   classes: Sequence | None = None) -> tuple[DataFrame, DataFrame]:
+                   classes: Sequence | None = None, sig: Signatures | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact k-NN of every point of the given classes.
 
     Returns (points, slots): points(_y, _s, cats..., _m, _pid, _med) and
     slots(_y, _pid, slot 0..k-1, _nb) - the k neighbour rows of each point in
-    (distance, point id) order.
+    (distance, score, signature) order; fewer where the class has fewer rows.
     """
     cats = list(cats)
     r = rows if classes is None else rows.where(col(label).isin(*classes))
-    pts = (r.groupBy(col(label).alias("_y"), col(cont).alias("_s"), *[col(c).alias(c) for c in cats])
-           .agg(F.count(F.lit(1)).alias("_m")))
-    pts = pts.withColumn("_pid", F.to_json(F.struct("_s", *cats)))
-    med = (r.groupBy(col(label).alias("_y")).agg(F.stddev_pop(col(cont)).alias("_sd")))
+    sig = sig or Signatures(r, cats)
+    med = r.groupBy(col(label).alias("_y")).agg(F.stddev_pop(col(cont)).alias("_sd"))
     med = med.select("_y", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0)).alias("_med"))
-    pts = cut_lineage(pts.join(F.broadcast(med), "_y"))  # class table: K rows
-
-    nf = len(cats)
-    sigs = cut_lineage(_signature_table(pts, cats))
-    # pass 1: radius-1 blocks (two halves of the features). Points whose k-th
-    # distance is below 2 Med^2 are finished; for the others the k rows found
-    # give an upper bound ub of the k-th distance.
-    h1 = min(1, nf)
-    blocks = _blocks(sigs, cats, [h1])
-    used = cut_lineage(_take_k(_candidates(sigs, blocks, sigs, blocks, cats, k), k))
-    stat = used.groupBy("_y", "_pid").agg(F.max("_ce").alias("_tot"), F.max("_d2").alias("_ub"))
-    st = pts.select("_y", "_pid", "_med").join(stat, ["_y", "_pid"], "left")
-    ok = F.coalesce((F.col("_tot") >= k) & (F.col("_ub") < F.lit(float(h1 + 1)) * F.col("_med") ** 2),
-                    F.lit(False))
-    st = cut_lineage(st.withColumn("_ok", ok))
-    first = used.join(st.where("_ok").select("_y", "_pid"), ["_y", "_pid"], "left_semi")
-    # pass 2: every neighbour of an open point has H Med^2 <= ub, so searching
-    # radius h* = floor(ub / Med^2) is exact; no bound -> the whole class
-    hstar = F.when(F.col("_tot") >= k, F.least(F.floor(F.col("_ub") / F.col("_med") ** 2),
-                                               F.lit(nf))).otherwise(F.lit(nf)).cast("int")
-    rest = st.where(~F.col("_ok")).select("_y", "_pid", hstar.alias("_hs"),
-                                          F.when(F.col("_tot") >= k, F.col("_ub")).alias("_ub"))
-    radii = sorted(r[0] for r in rest.select("_hs").distinct().collect())  # <= F+1 values
-    parts = [first.select("_y", "_pid", "_nb", "_cs", "_ce")]
-    if radii:
-        open_ = _signature_table(pts.join(rest, ["_y", "_pid"]), cats, "_ub")
-        wide = pts.join(rest, ["_y", "_pid"]).withColumn("_sid", F.to_json(F.struct(*[col(c) for c in cats])) if cats else F.lit(""))
-        wide = wide.groupBy("_y", "_sid").agg(F.max("_hs").alias("_hs"))
-        blocks_a = _blocks(open_.join(wide, ["_y", "_sid"]), cats, radii).where(F.col("_h") == F.col("_hs")).drop("_hs")
-        second = _take_k(_candidates(open_, blocks_a, sigs, _blocks(sigs, cats, radii), cats, k), k)
-        parts.append(second.select("_y", "_pid", "_nb", "_cs", "_ce"))
-    nbr = parts[0]
-    for q in parts[1:]:
-        nbr = nbr.unionByName(q)
-    slots = (nbr.withColumn("slot", F.explode(F.sequence(
-        F.col("_cs").cast("int"), F.least(F.col("_ce"), F.lit(k)).cast("int") - 1)))
-        .select("_y", "_pid", "slot", "_nb"))
+    pts = points_of(r, label, cont, sig).join(F.broadcast(med), "_y")  # class table: K rows
+    pts = cut_lineage(pts.withColumn("_pid", point_id(sig, F.col("_s"))))
+
+    item = "struct<_d2:double,_s:double," + "".join(f"{w}:bigint," for w in sig.words) + "_m:bigint,_h:int>"
+    open_ = pts.select("_y", "_s", *sig.words, "_med", F.lit(None).cast("double").alias("_ub"), F.expr(f"cast(array() as array<{item}>)").alias("_near"))
+    done = None
+    for ring in range(len(cats) + 1):
+        found = _ring(pts, open_, sig, ring, k)
+        # ``k`` entries hold k rows at least
+        merged = F.slice(F.array_sort(F.concat("_near", F.coalesce("_found", F.expr(f"cast(array() as array<{item}>)")))), 1, k)
+        state = (open_.join(found, ["_y", "_s", *sig.words], "left").select("_y", "_s", *sig.words, "_med", merged.alias("_near"))
+                 .withColumn("_ub", _reach("_near", k)))
+        closed = F.coalesce(F.col("_ub") < F.round(F.col("_med") * F.col("_med") * (ring + 1), 9), F.lit(False)) | F.lit(ring == len(cats))
+        state = cut_lineage(state.withColumn("_closed", closed))
+        part = state.where("_closed").select("_y", "_s", *sig.words, "_near")
+        done = part if done is None else done.unionByName(part)
+        open_ = state.where(~F.col("_closed")).drop("_closed")
+        if open_.isEmpty():
+            break
+    # the rows of each neighbour take as many slots
+    nbr = done.select("_y", point_id(sig, F.col("_s")).alias("_pid"), F.posexplode("_near").alias("_i", "_n"), "_near")
+    before = F.aggregate(F.slice("_near", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda a, x: a + x["_m"])
+    nbr = nbr.select("_y", "_pid", before.alias("_cs"), (before + F.col("_n._m")).alias("_ce"),
+                     F.concat_ws("|", F.col("_n._s").cast("string"), *[F.col(f"_n.{w}").cast("string") for w in sig.words]).alias("_nb")).where(F.col("_cs") < k)
+    slots = (nbr.withColumn("slot", F.explode(F.sequence(F.col("_cs").cast("int"), F.least(F.col("_ce"), F.lit(k)).cast("int") - 1)))
+             .select("_y", "_pid", "slot", "_nb"))
     return pts, cut_lineage(slots)
 
 
@@ -197,12 +209,13 @@ def smote_nc(rows: DataFrame, label: str, key: str, cont: str, cats: Sequence[st
     small = {c: counts.get(c, 0) for c in classes if counts.get(c, 0) <= k}
     if small:
         raise ValueError(f"classes with too few rows for {k} neighbours: {small}")
-    pts, slots = nearest_points(base, label, cont, cats, k, classes)
+    sig = Signatures(base, cats)
+    pts, slots = nearest_points(base, label, cont, cats, k, classes, sig)
 
     # base rows numbered inside their class (no single task per class)
     ranked = rank_within(base.select(col(key), col(label), col(cont), *cats), [label],
                          [hash_order(seed, key), key], out="_rank")
-    ranked = ranked.withColumn("_pid", F.to_json(F.struct(col(cont).alias("_s"), *cats)))
+    ranked = ranked.select("*", *sig.columns()).withColumn("_pid", point_id(sig, col(cont))).drop(*sig.words)
 
     # sample numbers: one distributed range; class and in-class number from
     # cumulative offsets (K classes, a literal CASE chain)
