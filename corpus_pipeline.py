@@ -7,9 +7,9 @@ last returns a row for each encoded document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ordinal_spark.llm.attention_mil import THRESHOLD, quality_labels, score_documents
+from ordinal_spark.llm.attention_mil import THRESHOLD, quality_labels, quality_score
 from ordinal_spark.llm.decontaminate import decontaminate
 from ordinal_spark.llm.frames import documents, written
 from ordinal_spark.llm.jaccard_join import one_of_each
@@ -20,7 +20,7 @@ from ordinal_spark.llm.token_counts import word_bpe
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that score below its threshold go."""
-    return score_documents(docs, quality_labels(spark, sf_dir)).filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return docs.filter(quality_score(docs, quality_labels(spark, sf_dir)) >= THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

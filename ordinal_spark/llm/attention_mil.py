@@ -9,15 +9,19 @@ the weighted mean:
     h = tanh(A x + a),  w = softmax_passages(r . (tanh(V h) * sigmoid(U h))),
     score = sigmoid(c . sum(w h) + d)
 
-Attention lets one junk passage decide for a long document. The fit takes at
-most ``max_documents`` labelled documents (those with the smallest id hashes)
-and runs on them in one process; scoring is one pass over all rows, with the
-weights as a broadcast of a few kB.
+Attention lets one junk passage decide for a long document. The fit takes
+labelled documents in the order of a hash of their ids, ``max_documents`` and
+``max_passages`` at most (and one more document's), and runs on them in one
+process, so the driver's memory is bounded and the model does not depend on how
+rows lie. Scoring is one pass over all rows, with the weights as a broadcast of
+a few kB; only texts go to Python and only scores come back.
 
 Documents that train are those whose crc32(doc_id as text) mod ``folds`` is
 not 0. Null labels are left out, and several labels of one id count as the
-largest. Null or blank texts are one empty passage. Without labels every score
-is 0.5. Source, language and id are no features. Memory follows the chunk.
+largest. Of several texts of one id the one with the smallest hash teaches;
+repeated rows teach once. Null or blank texts are one empty passage. Without
+labels every score is 0.5, and empty tables give no rows. Other columns keep
+their names, ``score_col`` excepted. Source, language and id are no features. Memory follows the chunk.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.functions import ArrowUDFType
 
-from .frames import documents, text_rows
+from .frames import documents, text_rows, written
 from .text import LOWER, Spans, chunks, flat, mix, word_spans
 
 PASSAGE, FOLDS, THRESHOLD = 64, 5, 0.3
-MAX_DOCUMENTS, EPOCHS, BATCH, RATE, SEED = 8000, 40, 64, 4e-3, 7
+MAX_DOCUMENTS, MAX_PASSAGES, EPOCHS, BATCH, RATE, SEED = 8000, 200_000, 40, 64, 4e-3, 7
 HIDDEN, GATE = 24, 12
 # byte classes: blank, line feed, other control, a-z, A-Z, digit, sentence marks, other ASCII marks, beyond ASCII
 CLASSES = 9
@@ -159,32 +164,38 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(offsets):
             x, each = encode_passages(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             at = np.concatenate([[0], np.cumsum(each)])
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                                             names=["label", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
+                                             names=["doc_id", "label", "passages"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, epochs: int = EPOCHS) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, epochs: int = EPOCHS, max_passages: int = MAX_PASSAGES) -> dict | None:
     """Weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, label)."""
     chosen = (labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents))
-    bags = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_bags, "label int, passages binary").toArrow()
-    if not bags.num_rows:
+    own = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    bags = written(own.select("doc_id", "label", "t.text").mapInArrow(_bags, "doc_id long, label int, passages binary"), "bags")
+    x, label, n = [], [], 0
+    for r in bags.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        if n >= max_passages:
+            break
+        x.append(np.frombuffer(r["passages"], np.float32).reshape(-1, FEATURES))
+        label.append(r["label"])
+        n += len(x[-1])
+    if not x:
         return None
-    x = [np.frombuffer(p.as_py(), np.float32).reshape(-1, FEATURES) for p in bags.column("passages")]
-    label = bags.column("label").to_numpy().astype(np.float64)
-    return fit(np.concatenate(x), np.array([len(p) for p in x]), label, epochs)
+    return fit(np.concatenate(x), np.array([len(p) for p in x]), np.array(label, np.float64), epochs)
 
 
 def _scored(weights):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = weights.value
-        for batch in batches:
-            data, offsets = flat(batch.column("text"))
+        for column in texts:
+            data, offsets = flat(column)
             scores = [np.zeros(0)]
             for a, b in chunks(offsets):
                 part = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 scores.append(forward(m, *encode_passages(*part))[0] if m else np.full(b - a, 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, "_score"])
+            yield pa.array(np.concatenate(scores))
     return run
 
 
@@ -193,13 +204,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_documents: int = MAX_DOCUMENTS,
-                    epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with _score, from the labels of
-    the documents outside fold 0."""
+def quality_score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_documents: int = MAX_DOCUMENTS,
+                  epochs: int = EPOCHS) -> Column:
+    """The score of the column ``text``, as learned from ``docs`` (doc_id,
+    text) and the labels of the documents outside fold 0."""
     labels = labels.filter(fold(F.col("doc_id"), folds) != 0)
     weights = docs.sparkSession.sparkContext.broadcast(train(text_rows(docs), labels, max_documents, epochs))
-    return docs.mapInArrow(_scored(weights), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return F.arrow_udf(_scored(weights), T.DoubleType(), ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_documents: int = MAX_DOCUMENTS,
+                    epochs: int = EPOCHS, score_col: str = "_score") -> DataFrame:
+    """``docs`` (doc_id, text and any others) with their scores."""
+    return docs.withColumn(score_col, quality_score(docs, labels, folds, max_documents, epochs))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +224,7 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(text_rows(documents(spark, sf_dir)), quality_labels(spark, sf_dir)).withColumnRenamed("_score", "score")
+    out = score_documents(text_rows(documents(spark, sf_dir)), quality_labels(spark, sf_dir), score_col="score")
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 

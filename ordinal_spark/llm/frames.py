@@ -14,8 +14,11 @@ LOCAL_FALLBACK = "/tmp/ordinal-spark-checkpoints"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where
-    that is unset (tests, one machine)."""
-    return checkpoint_dir(spark, LOCAL_FALLBACK)
+    that is unset and the session runs on one machine (tests)."""
+    folder = checkpoint_dir(spark, LOCAL_FALLBACK if spark.sparkContext.master.startswith("local[") else None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

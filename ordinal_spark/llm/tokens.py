@@ -31,7 +31,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .text import ragged
 
-WORDS_KEPT, PIECES_KEPT = 200_000, 700_000  # of a worker's memories, which start anew beyond
+WORDS_KEPT, PIECES_KEPT = 200_000, 300_000  # of a worker's memories; beyond, the most used quarter stays
 TOGETHER = 2_000              # new pieces that are encoded as one text
 # words of other than visible ASCII and Latin-1 letters, which NFC leaves and lower-casing takes letter by letter
 ODD_LINE = regex.compile("^[!-~À-ÖØ-öø-ÿ]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*$", regex.MULTILINE)
@@ -89,6 +89,31 @@ class Ragged:
         return self.ids[ragged(self.start[at], self.size[at])]
 
 
+class Uses:
+    """How often numbered things were met, halved whenever a memory is cut."""
+
+    def __init__(self) -> None:
+        self.n = np.zeros(1024, np.int64)
+
+    def count(self, at: np.ndarray) -> None:
+        more = np.bincount(at)
+        if len(more) > len(self.n):
+            self.n = np.concatenate([self.n, np.zeros(max(len(self.n), len(more) - len(self.n)), np.int64)])
+        self.n[:len(more)] += more
+
+
+def most_used(memo: Memo, ids: Ragged, uses: Uses, keep: int) -> tuple[Memo, Ragged, Uses]:
+    """The memory of the ``keep`` most used things, numbered anew."""
+    n = np.zeros(len(memo), np.int64)
+    n[:min(len(n), len(uses.n))] = uses.n[:len(n)]
+    held = np.sort(np.argsort(-n, kind="stable")[:keep])
+    names, new, own, fresh = list(memo), Memo(), Ragged(), Uses()
+    new.update((names[i], j) for j, i in enumerate(held.tolist()))
+    own.append(ids.size[held], ids.of(held))
+    fresh.n = n[held] // 2
+    return new, own, fresh
+
+
 def printable_bytes() -> dict[int, int]:
     """The byte-level alphabet: visible Latin-1 characters stand for their
     byte, the other bytes for characters from 256 on, in order."""
@@ -113,14 +138,15 @@ class Encoder:
             vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
             self.ends = np.zeros(max([*vocab.values(), *(x["id"] for x in spec.get("added_tokens", []))]) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.piece, self.piece_ids = Memo(), Ragged()
-        self.clear()
+        self.piece, self.piece_ids, self.piece_uses = Memo(), Ragged(), Uses()
+        self.word, self.words, self.word_uses = Memo(), Ragged(), Uses()
 
-    def clear(self) -> None:
-        """Forget words, and pieces if there are too many."""
-        self.word, self.words = Memo(), Ragged()
+    def forget(self) -> None:
+        """Keep what is used most of memories that have grown too large."""
+        if len(self.word) > WORDS_KEPT:
+            self.word, self.words, self.word_uses = most_used(self.word, self.words, self.word_uses, WORDS_KEPT // 4)
         if len(self.piece) > PIECES_KEPT:
-            self.piece, self.piece_ids = Memo(), Ragged()
+            self.piece, self.piece_ids, self.piece_uses = most_used(self.piece, self.piece_ids, self.piece_uses, PIECES_KEPT // 4)
 
     def _learn_pieces(self) -> None:
         new, self.piece.new = self.piece.new, []
@@ -147,6 +173,7 @@ class Encoder:
         at = np.fromiter(map(self.piece.__getitem__, cut), np.int64, len(cut))
         if self.piece.new:
             self._learn_pieces()
+        self.piece_uses.count(at)
         marks = np.flatnonzero(at == self.piece[MARK]) if plain else np.zeros(0, np.int64)
         counts = np.diff(np.concatenate([[-1], marks])) - 1
         at = np.delete(at, marks)
@@ -165,8 +192,7 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all texts, where each text's begin)."""
-        if len(self.word) > WORDS_KEPT:
-            self.clear()
+        self.forget()
         split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()  # each distinct word is looked up once
         distinct = coded.dictionary.to_pylist()
@@ -174,6 +200,7 @@ class Encoder:
         at = number[coded.indices.to_numpy(zero_copy_only=False)]
         if self.word.new:
             self._learn_words()
+        self.word_uses.count(number)  # texts of this chunk count once
         return at, split.offsets.to_numpy()[:-1].astype(np.int64)
 
     def counts(self, texts: list[str]) -> np.ndarray:
