@@ -21,12 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` as Parquet to a new place in the shared folder and read it
-    back: lineage ends there, and a lost executor costs nothing above it."""
+    back: lineage ends there, and a lost executor costs nothing above it.
+    ``file_rows``: the most rows of a file (0: any), for rows of many MB."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,7 +44,8 @@ from .text import ragged
 TOP = 10
 BLOCK, SHORT = 128, 16          # postings of a block, on average; a list of so few is scored without a summary
 SHARD_DOCUMENTS = 4096          # at most, and fewer where a batch has many terms:
-SHARD_CELLS = 1 << 23           # documents times terms of a shard
+SHARD_CELLS = 1 << 22           # documents times terms of a shard
+FILE_SHARDS = 4                 # shards of a file: Spark reads a file's rows together
 BATCH_TERMS = 4096              # distinct terms from which on another index serves the next queries
 FIRST = 16                      # one shard in so many is searched first
 PROJECTED, SEED = 24, 11
@@ -288,7 +289,7 @@ def _batch(docs: DataFrame, items: dict, top: int) -> DataFrame:
     # one row for each term of the batch
     for r in counted.select("terms").mapInArrow(_documents_with(len(vocabulary)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         weights[r["term"]] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r["df"] + 1)))
-    index = written(counted.mapInArrow(_shards(weights, n_docs, length), SHARDS), "shards")
+    index = written(counted.mapInArrow(_shards(weights, n_docs, length), SHARDS), "shards", FILE_SHARDS)
     early = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
     floors = np.zeros(len(queries), np.int64)
     first = written(_best(index.filter(early).select("body").mapInArrow(_search(weights, queries, floors, top), FOUND), top), "first")
