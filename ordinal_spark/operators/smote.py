@@ -22,7 +22,7 @@ Exact k nearest neighbours without emitting all pairs of a class:
 * A ring drops candidates beyond the k-th distance so far. A point is finished
   when its k-th distance is below (h+1) Med^2, since all later rings start
   there; only open points go on, and in a dense table few pass ring 2.
-* Equal distances (to 9 decimals) go by score and then by signature.
+* Equal distances go by score and then by signature, which is a point's id.
 
 Synthetic rows (imbalanced-learn convention): base row uniform among the
 class rows, neighbour uniform among its k neighbour rows, continuous value
@@ -122,7 +122,7 @@ def _ring(points: DataFrame, open_: DataFrame, sig: Signatures, ring: int, k: in
     runs = entries.groupBy(*key, "_s").agg(F.collect_list(F.struct("_s", *sig.words, "_m")).alias("_run"))
     near = Window.partitionBy(*key).orderBy("_s").rowsBetween(-(k + 1), k + 1)
     runs = runs.select(*key, "_s", F.flatten(F.collect_list("_run").over(near)).alias("_around"))
-    d2 = lambda x: F.round((F.col("_s") - x["_s"]) * (F.col("_s") - x["_s"]) + F.col("_med") * F.col("_med") * ring, 9)
+    d2 = lambda x: (F.col("_s") - x["_s"]) * (F.col("_s") - x["_s"]) + F.col("_med") * F.col("_med") * ring
     cand = F.transform("_around", lambda x: F.struct(
         d2(x).alias("_d2"), x["_s"].alias("_s"), *[x[w].alias(w) for w in sig.words],
         (x["_m"] - (F.lit(ring == 0) & (x["_s"] == F.col("_s"))).cast("long")).alias("_m"),
@@ -142,12 +142,13 @@ def _reach(near: str, k: int) -> F.Column:
 
 def points_of(rows: DataFrame, label: str, cont: str, sig: Signatures) -> DataFrame:
     """(_y, _s, words, cats, _m): the distinct points and their rows."""
-    return (rows.groupBy(col(label).alias("_y"), col(cont).alias("_s"), *[col(c).alias(c) for c in sig.cats])
+    return (rows.groupBy(col(label).alias("_y"), col(cont).cast("double").alias("_s"), *[col(c).alias(c) for c in sig.cats])
             .agg(F.count(F.lit(1)).alias("_m")).select("*", *sig.columns()))
 
 
-def point_id(sig: Signatures, score) -> F.Column:
-    return F.concat_ws("|", score.cast("string"), *[F.col(w).cast("string") for w in sig.words])
+def point_id(sig: Signatures, score, words: str = "") -> F.Column:
+    """The score and signature as one column, which sorts like them."""
+    return F.struct(score.cast("double").alias("_s"), *[F.col(f"{words}{w}").alias(w) for w in sig.words])
 
 
 def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str], k: int = 5,
@@ -156,7 +157,7 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
 
     Returns (points, slots): points(_y, _s, cats..., _m, _pid, _med) and
     slots(_y, _pid, slot 0..k-1, _nb) - the k neighbour rows of each point in
-    (distance, score, signature) order; fewer where the class has fewer rows.
+    (distance, point id) order; fewer where the class has fewer rows.
     """
     cats = list(cats)
     r = rows if classes is None else rows.where(col(label).isin(*classes))
@@ -175,7 +176,7 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
         merged = F.slice(F.array_sort(F.concat("_near", F.coalesce("_found", F.expr(f"cast(array() as array<{item}>)")))), 1, k)
         state = (open_.join(found, ["_y", "_s", *sig.words], "left").select("_y", "_s", *sig.words, "_med", merged.alias("_near"))
                  .withColumn("_ub", _reach("_near", k)))
-        closed = F.coalesce(F.col("_ub") < F.round(F.col("_med") * F.col("_med") * (ring + 1), 9), F.lit(False)) | F.lit(ring == len(cats))
+        closed = F.coalesce(F.col("_ub") < F.col("_med") * F.col("_med") * (ring + 1), F.lit(False)) | F.lit(ring == len(cats))
         state = cut_lineage(state.withColumn("_closed", closed))
         part = state.where("_closed").select("_y", "_s", *sig.words, "_near")
         done = part if done is None else done.unionByName(part)
@@ -186,7 +187,7 @@ def nearest_points(rows: DataFrame, label: str, cont: str, cats: Sequence[str],
     nbr = done.select("_y", point_id(sig, F.col("_s")).alias("_pid"), F.posexplode("_near").alias("_i", "_n"), "_near")
     before = F.aggregate(F.slice("_near", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda a, x: a + x["_m"])
     nbr = nbr.select("_y", "_pid", before.alias("_cs"), (before + F.col("_n._m")).alias("_ce"),
-                     F.concat_ws("|", F.col("_n._s").cast("string"), *[F.col(f"_n.{w}").cast("string") for w in sig.words]).alias("_nb")).where(F.col("_cs") < k)
+                     point_id(sig, F.col("_n._s"), "_n.").alias("_nb")).where(F.col("_cs") < k)
     slots = (nbr.withColumn("slot", F.explode(F.sequence(F.col("_cs").cast("int"), F.least(F.col("_ce"), F.lit(k)).cast("int") - 1)))
              .select("_y", "_pid", "slot", "_nb"))
     return pts, cut_lineage(slots)
