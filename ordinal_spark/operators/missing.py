@@ -8,10 +8,8 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import col
 
@@ -63,46 +61,36 @@ def chi_square(table: DataFrame) -> DataFrame:
             .drop("_md"))
 
 
-def _chi2_sf(x: float, k: int) -> float:
-    """Upper tail of the chi-square distribution: Q(k/2, x/2)."""
-    if x is None or k is None or k <= 0 or math.isnan(x):
-        return float("nan")
-    a, z = k / 2.0, x / 2.0
-    if z <= 0:
-        return 1.0
-    gln = math.lgamma(a)
-    if z < a + 1.0:  # series for P, then 1 - P
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(10000):
-            ap += 1.0
-            d *= z / ap
-            s += d
-            if abs(d) < abs(s) * 1e-15:
-                break
-        return max(0.0, 1.0 - s * math.exp(-z + a * math.log(z) - gln))
-    b = z + 1.0 - a  # continued fraction for Q (Lentz)
-    c, d = 1.0 / 1e-300, 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return math.exp(-z + a * math.log(z) - gln) * h
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_pvalue(x: pd.Series, k: pd.Series) -> pd.Series:
-    """p-value of a chi-square statistic (vectorised over Arrow batches)."""
-    return pd.Series([_chi2_sf(float(a), int(b)) if pd.notna(a) and pd.notna(b) else float("nan")
-                      for a, b in zip(x, k)])
+def _erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0: below 2 one minus the series of
+    positive terms, from 2 on the continued fraction; 60 steps of either reach
+    double precision."""
+    steps = F.sequence(F.lit(1), F.lit(60))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    series = F.aggregate(steps, start, lambda acc, n: F.struct((acc["term"] * 2 * z * z / (2 * n + 1)).alias("term"),
+                                                               (acc["sum"] + acc["term"] * 2 * z * z / (2 * n + 1)).alias("sum")), lambda acc: acc["sum"])
+    below = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series
+    safe = F.greatest(z, F.lit(2.0))
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(1.0), lambda acc, k: F.lit(1.0) + k / (2 * safe * safe) / acc)
+    beyond = F.exp(-z * z) / (safe * F.lit(math.sqrt(math.pi)) * fraction)
+    return F.when(z < 2, below).otherwise(beyond)
+
+
+def chi2_pvalue(x: str, k: str) -> Column:
+    """Upper tail of the chi-square distribution with whole degrees of freedom,
+    Q(k/2, x/2), as a column: a finite sum for even ones, erfc and a finite sum
+    for odd ones. Null for null input or no degrees of freedom."""
+    h, dof = F.col(x).cast("double") / 2, F.col(k).cast("int")
+    odd = dof % 2 == 1
+    first = F.when(odd, F.exp(-h) * F.sqrt(h) * F.lit(2 / math.sqrt(math.pi))).otherwise(F.exp(-h))
+    more = F.floor((dof - 1) / 2).cast("int") - F.when(odd, F.lit(1)).otherwise(F.lit(0))  # terms after the first
+    a = F.when(odd, F.lit(1.5)).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("term"), first.alias("sum"))
+    total = F.aggregate(F.when(more >= 1, F.sequence(F.lit(0), more - 1)).otherwise(F.array().cast("array<int>")), start,
+                        lambda acc, i: F.struct((acc["term"] * h / (a + i)).alias("term"), (acc["sum"] + acc["term"] * h / (a + i)).alias("sum")),
+                        lambda acc: acc["sum"])
+    tail = F.when(odd, _erfc(F.sqrt(h)) + F.when(dof > 1, total).otherwise(F.lit(0.0))).otherwise(total)
+    return F.when(F.col(x).isNull() | (dof < 1), F.lit(None).cast("double")).when(h <= 0, F.lit(1.0)).otherwise(tail)
 
 
 def missing_by_category(table: DataFrame) -> DataFrame:
@@ -141,9 +129,11 @@ def point_biserial(df: DataFrame, features: Sequence[str], indicator: str,
 
 def five_numbers(df: DataFrame, value: str, by: str) -> DataFrame:
     """Min, quartiles (linear interpolation) and max of ``value`` per
-    value of ``by`` - the table behind a box plot."""
+    value of ``by`` (a closed list) - the table behind a box plot."""
+    from .quantiles import quantiles
     x = col(value).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(col(by)).agg(F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
-            .select(col(by), "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q75"), "max"))
+    ends = df.groupBy(col(by)).agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    cuts = quantiles(df.select(col(by).alias("key"), x.alias("value")), (0.25, 0.5, 0.75))
+    cuts = cuts.select(F.col("key").alias("_key"), F.col("values")[0].alias("q25"), F.col("values")[1].alias("median"), F.col("values")[2].alias("q75"))
+    return (ends.join(F.broadcast(cuts), col(by).eqNullSafe(F.col("_key")), "left")  # a row for each value of ``by``
+            .select(col(by), "min", "q25", "median", "q75", "max"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import col
+from ..session import cut_lineage
 
 
 def _is_missing(df: DataFrame, c: str):
@@ -43,7 +44,8 @@ def categorical_profile(df: DataFrame, cols: Sequence[str], top: int = 5) -> Dat
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
         for c in cols])).alias("s")).select("s.*").where(F.col("value").isNotNull())
-    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    # pinned: three parts of the result read it
+    counts = cut_lineage(pairs.groupBy("column", "value").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     uniq = counts.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("unique_values"))
@@ -58,36 +60,43 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True,
     """Count, mean, std (ddof 1), min, quartiles, max and distinct count
     per numeric column; text columns get only the distinct count.
 
-    One aggregate over all columns (one pass), then a tiny unpivot.
-    ``exact=True`` uses linear-interpolated ``percentile`` (pandas' method;
-    its buffer grows with the number of distinct values - fine for years,
-    codes and scores). For high-cardinality measures at scale pass
-    ``exact=False`` (``percentile_approx``) and accept approximate quartiles.
+    One aggregate over all columns, one distinct count of (column, value), and
+    linear-interpolated quartiles by counting passes (``quantiles``): no buffer
+    grows with the values. ``exact=False`` takes the quartiles from
+    ``percentile_approx`` in the same aggregate.
     """
-    aggs, rows = [], []
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     nul = F.lit(None).cast("double")
     for i, c in enumerate(cols):
-        x = col(c)
-        aggs.append(F.count_distinct(x).cast("bigint").alias(f"_u{i}"))
-        if isinstance(df.schema[c].dataType, T.NumericType):
-            xd = x.cast("double")
-            q = (F.percentile(xd, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-                 else F.percentile_approx(xd, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
-            aggs += [F.count(x).cast("bigint").alias(f"_c{i}"), F.avg(xd).alias(f"_m{i}"),
-                     F.stddev_samp(xd).alias(f"_s{i}"), F.min(xd).alias(f"_lo{i}"),
-                     q.alias(f"_q{i}"), F.max(xd).alias(f"_hi{i}")]
-            rows.append(F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
-                                 F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-                                 F.col(f"_lo{i}").alias("min"), F.col(f"_q{i}")[0].alias("q25"),
-                                 F.col(f"_q{i}")[1].alias("q50"), F.col(f"_q{i}")[2].alias("q75"),
-                                 F.col(f"_hi{i}").alias("max"),
-                                 F.col(f"_u{i}").alias("unique_values")))
-        else:
+        if c not in numeric:
             rows.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("bigint").alias("count"),
-                                 nul.alias("mean"), nul.alias("std"), nul.alias("min"),
-                                 nul.alias("q25"), nul.alias("q50"), nul.alias("q75"),
-                                 nul.alias("max"), F.col(f"_u{i}").alias("unique_values")))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+                                 nul.alias("mean"), nul.alias("std"), nul.alias("min"), nul.alias("max"),
+                                 F.lit(None).cast("array<double>").alias("_approx")))
+            continue
+        xd = col(c).cast("double")
+        aggs += [F.count(col(c)).cast("bigint").alias(f"_c{i}"), F.avg(xd).alias(f"_m{i}"),
+                 F.stddev_samp(xd).alias(f"_s{i}"), F.min(xd).alias(f"_lo{i}"), F.max(xd).alias(f"_hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(xd, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"_q{i}"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
+                             F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
+                             F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"),
+                             (F.lit(None).cast("array<double>") if exact else F.col(f"_q{i}")).alias("_approx")))
+    out = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("_v")) for c in cols]))).where(F.col("_v").isNotNull())
+    unique = pairs.distinct().groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("_u"))
+    if exact and numeric:
+        from .quantiles import quantiles
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), col(c).cast("double").alias("value")) for c in numeric])))
+        cuts = quantiles(long, (0.25, 0.5, 0.75)).withColumnRenamed("key", "column")
+    else:
+        cuts = out.select("column", F.col("_approx").alias("values"))
+    # tables of one row a column
+    out = out.drop("_approx").join(F.broadcast(unique), "column", "left").join(F.broadcast(cuts), "column", "left")
+    return out.select("column", "count", "mean", "std", "min", *[F.get("values", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
+                      "max", F.coalesce("_u", F.lit(0)).cast("bigint").alias("unique_values"))
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
@@ -110,6 +119,12 @@ def null_patterns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
+def in_order(table: DataFrame, within: Sequence[str], order: Sequence) -> DataFrame:
+    """O1: a report table with each row's ``position`` (from 1) in report order
+    within its group; report tables have a row for each level of a closed list."""
+    return table.withColumn("position", F.row_number().over(Window.partitionBy(*[col(c) for c in within]).orderBy(*order)))
+
+
 def key_uniqueness(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:
     """Rows and distinct keys (HyperLogLog++ when ``approximate``)."""
     d = F.approx_count_distinct(col(key)) if approximate else F.count_distinct(col(key))

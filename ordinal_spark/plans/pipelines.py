@@ -106,8 +106,9 @@ def preprocess(raw: DataFrame, s: SeveritySchema, encode: bool = True, impute_mi
 
 
 def profile_report(raw: DataFrame, s: SeveritySchema) -> dict[str, DataFrame]:
-    """The exploratory profile of the split report rows."""
-    sp = minimal_preprocess(raw, s)
+    """The exploratory profile of the split report rows. The reports and
+    the split rows are evaluated once each; all tables read the pinned rows."""
+    sp = cut_lineage(minimal_preprocess(cut_lineage(raw), s))
     return {
         "key_uniqueness": profile.key_uniqueness(sp, s.ref),
         "records_per_key": entity.records_per_key(sp, s.ref),
@@ -119,15 +120,18 @@ def profile_report(raw: DataFrame, s: SeveritySchema) -> dict[str, DataFrame]:
 
 
 def missing_report(raw: DataFrame, s: SeveritySchema) -> dict[str, DataFrame]:
-    """Missingness of the target against time and the other categories."""
-    base = preprocess(raw, s, encode=False, impute_missing=False)
+    """Missingness of the target against time and the other categories.
+    The reports are evaluated once, and so are the cleaned incidents, which the
+    encoded ones are made from."""
+    raw = cut_lineage(raw)
+    data = cut_lineage(preprocess(raw, s, encode=False, impute_missing=False).data)
     ind = f"{s.target}_missing"
-    mb = enc.unknown_indicator(base.data, s.target, ["Unknown"])
+    mb = enc.unknown_indicator(data, s.target, ["Unknown"])
     cats = [c for c in s.incident_categories if c != s.target]
-    cont = missing.contingency(mb, cats, ind)
-    enc_only = preprocess(raw, s, encode=True, impute_missing=False)
-    e = enc_only.data.withColumn("_ind", (F.col(s.target) == 0).cast("double"))
-    feats = [c for c in enc_only.features(s)]
+    cont = cut_lineage(missing.contingency(mb, cats, ind))
+    encoded, _ = enc.encode(data, s, load_levels(raw, s, validate=False))
+    e = encoded.withColumn("_ind", (F.col(s.target) == 0).cast("double"))
+    feats = [c for c in encoded.columns if c not in (s.ref, s.target, "raw_score")]
     chi = missing.chi_square(cont)
     return {
         "null_patterns": profile.null_patterns(mb),
@@ -136,7 +140,7 @@ def missing_report(raw: DataFrame, s: SeveritySchema) -> dict[str, DataFrame]:
         "year_by_missingness": missing.five_numbers(mb, s.years_col, ind),
         "contingency": cont,
         "chi_square": chi.withColumn("p_value", missing.chi2_pvalue("chi2", "dof")),
-        "missing_by_category": missing.missing_by_category(cont),
+        "missing_by_category": profile.in_order(missing.missing_by_category(cont), ["column"], [F.desc("missing_pct"), F.asc("category")]),
         "point_biserial": missing.point_biserial(e, feats, "_ind"),
     }
 
@@ -185,7 +189,7 @@ def class_levels(df: DataFrame, label: str) -> list[int]:
 def run_comparison(raw: DataFrame, s: SeveritySchema,
                    configs: Mapping[str, Mapping] | None = None, k: int = 5, seed: int = 42,
                    resampler: Callable[[DataFrame], DataFrame] | None = None,
-                   parallelism: int = 4, resample: bool = True) -> dict[str, DataFrame]:
+                   parallelism: int = 4, resample: bool = True, ledger: str | None = None) -> dict[str, DataFrame]:
     """Preprocess, cross-validate the four models, report E9-E13."""
     prep = preprocess(raw, s)
     if resampler is None and resample:
@@ -196,7 +200,7 @@ def run_comparison(raw: DataFrame, s: SeveritySchema,
     cfg = {n: [p] for n, p in (configs or REFERENCE_CONFIG).items()}
     cv = tuning.cross_validate(data, s.ref, s.target, candidates(feats, s.target, cfg, classes),
                                k=k, seed=seed, resampler=resampler, parallelism=parallelism,
-                               permutation=True)
+                               permutation=True, ledger=ledger)
     long = M.long_scores(cv.scores, keys=("model", "params_id", "fold"))
     summ = M.cv_summary(long)
     out = {"scores": cv.scores, "summary": summ, "best_model": M.best_model(summ),
@@ -212,8 +216,9 @@ def run_comparison(raw: DataFrame, s: SeveritySchema,
 def tune_all(raw: DataFrame, s: SeveritySchema, grids: Mapping[str, Mapping] | None = None,
              metric: str = "weighted_mae", k: int = 5, seed: int = 42,
              resampler: Callable[[DataFrame], DataFrame] | None = None,
-             parallelism: int = 4, resample: bool = True) -> dict[str, DataFrame]:
-    """Grid search of every model; best parameters by ``metric``."""
+             parallelism: int = 4, resample: bool = True, ledger: str | None = None) -> dict[str, DataFrame]:
+    """Grid search of every model; best parameters by ``metric``. With a
+    ``ledger`` folder a run that was lost goes on where it ended."""
     prep = preprocess(raw, s)
     if resampler is None and resample:
         resampler = fold_resampler(prep, s)
@@ -223,7 +228,7 @@ def tune_all(raw: DataFrame, s: SeveritySchema, grids: Mapping[str, Mapping] | N
     cfg = {n: tuning.grid(g) for n, g in (grids or DEFAULT_GRIDS).items()}
     cv = tuning.cross_validate(data, s.ref, s.target, candidates(feats, s.target, cfg, classes),
                                k=k, seed=seed, resampler=resampler, parallelism=parallelism,
-                               with_train=False)
+                               with_train=False, ledger=ledger)
     summ = tuning.tuning_summary(cv, metric)
     conf = M.confusion(cv.predictions, keys=("model", "params_id", "fold"))
     return {"summary": summ, "best_params": tuning.best_params(summ, metric),

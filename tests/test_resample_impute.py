@@ -133,11 +133,69 @@ def test_bround_is_half_even(spark):
     assert [r["r"] for r in got] == [1, 2, 2, 4]
 
 
-def test_chi2_pvalue_reference_points():
-    from ordinal_spark.operators.missing import _chi2_sf
-    assert abs(_chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9
-    assert abs(_chi2_sf(9.487729036781154, 4) - 0.05) < 1e-9
-    assert abs(_chi2_sf(1.0, 2) - np.exp(-0.5)) < 1e-12
+def test_chi2_pvalue_reference_points(spark):
+    from ordinal_spark.operators.missing import chi2_pvalue
+    points = [(3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (1.0, 2, np.exp(-0.5)), (0.0, 3, 1.0), (7.814727903251179, 3, 0.05),
+              (10.827566170662733, 1, 0.001), (124.3421134004094, 100, 0.05), (123.22522145336181, 99, 0.05)]
+    df = spark.createDataFrame([(x, k, float(p)) for x, k, p in points], "x double, k int, p double")
+    assert all(abs(r["q"] - r["p"]) < 1e-9 for r in df.withColumn("q", chi2_pvalue("x", "k")).collect())
+    tiny = spark.createDataFrame([(800.0, 1), (None, 1), (1.0, 0)], "x double, k int").select(chi2_pvalue("x", "k").alias("q")).collect()
+    assert 0 < tiny[0]["q"] < 1e-170 and tiny[1]["q"] is None and tiny[2]["q"] is None
+
+
+def chained(M, missing, order, rounds=10, tol=1e-3, low=None):
+    """Chained equations on a matrix, column by column (test only)."""
+    X = M.copy()
+    for j in order:
+        X[missing[:, j], j] = M[~missing[:, j], j].mean()
+    limit = tol * np.abs(M[~missing]).max()
+    for r in range(1, rounds + 1):
+        old = X.copy()
+        for j in order:
+            seen, rest = ~missing[:, j], [c for c in range(M.shape[1]) if c != j]
+            coef, b0 = sklearn_like_bayesian_ridge(X[seen][:, rest], M[seen, j])
+            pred = X[missing[:, j]][:, rest] @ coef + b0
+            X[missing[:, j], j] = pred if low is None else np.maximum(pred, low)
+        if np.abs(X - old).max() < limit:
+            break
+    return X, r
+
+
+def test_chained_imputation_of_two_columns(spark):
+    rnd = np.random.default_rng(8)
+    n = 400
+    a, b = rnd.normal(3, 1, n), rnd.normal(0, 2, n)
+    M = np.stack([a, b, 2 * a - b + rnd.normal(0, 0.3, n), a + 0.5 * b + rnd.normal(0, 0.3, n)], axis=1)
+    missing = np.zeros_like(M, bool)
+    missing[:, 2] = rnd.random(n) < 0.3
+    missing[:, 3] = rnd.random(n) < 0.15
+    want, rounds = chained(M, missing, [3, 2], low=1.0)
+    rows = [(i, *[None if m else float(x) for x, m in zip(M[i], missing[i])]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, z double").repartition(3)
+    out, fit = impute.impute_columns(df, ["y", "z"], ["a", "b"], min_value=1.0)
+    got = np.array([r[1:] for r in sorted(map(tuple, out.collect()))])
+    assert fit.rounds == rounds > 1 and fit.converged and out.columns == df.columns
+    assert np.allclose(got, want, atol=1e-6)
+    same, none = impute.impute_columns(df.select("id", "a", "b"), ["b"], ["a"])
+    assert none.rounds == 0 and none.converged and same.count() == n
+    empty, fit = impute.impute_columns(df.withColumn("y", F.lit(None).cast("double")), ["y", "z"], ["a", "b"])
+    assert empty.where("y is not null or z is null").count() == 0 and set(fit.fits) == {"z"}
+
+
+def test_quantiles_by_counting_passes(spark):
+    from ordinal_spark.operators.quantiles import quantiles
+    rnd = np.random.default_rng(9)
+    keys = {"wide": np.exp(rnd.normal(0, 40, 3000)), "ties": rnd.integers(0, 4, 3001).astype(float), "one": np.array([7.5]),
+            "two": np.array([-1.0, 2.0]), "far": np.array([-1.7e308, 1.7e308, 0.0, -0.0, 5e-324])}
+    rows = [(k, float(x)) for k, v in keys.items() for x in v]
+    rows += [("wide", None), ("wide", float("nan")), ("wide", float("inf")), ("none", None), ("none", float("nan"))]
+    ps = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r["key"]: r["values"] for r in quantiles(spark.createDataFrame(rows, "key string, value double"), ps).collect()}
+    assert set(got) == set(keys)
+    for k, v in keys.items():
+        if k != "far":
+            assert np.allclose(got[k], np.quantile(v, ps), rtol=1e-12)
+    assert got["far"][0] == -1.7e308 and got["far"][2] == 0.0 and got["far"][4] == 1.7e308
 
 
 def test_impute_without_encode_rejected(spark):
