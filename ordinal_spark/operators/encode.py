@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col, dummy_decode, dummy_exprs, is_unknown, ordinal_code
@@ -154,3 +154,15 @@ def encode(df: DataFrame, s: SeveritySchema,
     """Dummy + ordinal encoding of the cleaned incident table."""
     specs = plan_dummies(df, s, load_levels)
     return ordinal_encode(dummy_encode(df, specs), s), specs
+
+
+def class_index(label: Column, classes: Sequence[int]) -> Column:
+    """P10: the place (from 0) of a class label in the ordered ``classes``;
+    null for labels that are not among them."""
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), label.cast("int"))
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def class_label(index: Column, classes: Sequence[int]) -> Column:
+    """P10: the class label at a place; inverse of ``class_index``."""
+    return F.get(F.array(*[F.lit(c) for c in classes]), index).cast("int")

@@ -63,6 +63,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return d
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for written tables. Where none is set only a
+    session on one machine gets a local one."""
+    folder = checkpoint_dir(spark, "/tmp/ordinal-spark-checkpoints" if spark.sparkContext.master.startswith("local[") else None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Reliable checkpoint into the shared checkpoint folder, if one is set.
 

@@ -59,7 +59,7 @@ def load_reports(spark: SparkSession, path: str, schema: SeveritySchema,
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite", fmt: str = "parquet") -> None:
     """Persist a report table (the original only drew plots of these)."""
-    w = df.write.mode(mode).format(fmt)
+    w = df.write.mode(mode).format(fmt).option("header", True)  # of CSV
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
