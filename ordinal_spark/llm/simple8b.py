@@ -33,6 +33,7 @@ from .tokens import encoder, load
 END = 2
 RUN = 512
 SHARD_BYTES = 16 << 20
+TOGETHER = 4 << 20              # bytes of text that are encoded at once
 # widest field for each possible number of ids in a word, most ids first
 COUNTS = sorted({60 // w for w in range(1, 61)}, reverse=True)
 N = np.array(COUNTS + [0] * (15 - len(COUNTS)) + [1], np.int64)
@@ -149,17 +150,20 @@ def _packed(version: str, content, end: int):
         before = number = 0
         for batch in batches:
             _, offsets = flat(batch.column("text"))
-            for a, b in chunks(offsets):
-                part = batch.slice(a, b - a)
-                ids, counts = own.encode([x or "" for x in part.column("text").to_pylist()])
-                ids = np.insert(ids, np.cumsum(counts), end)
-                counts = counts + 1
+            for i, j in chunks(offsets, TOGETHER):  # a word that comes again is looked up once
+                part = batch.slice(i, j - i)
+                all_ids, all_counts = own.encode([x or "" for x in part.column("text").to_pylist()])
+                all_ids = np.insert(all_ids, np.cumsum(all_counts), end)
+                all_counts = all_counts + 1
+                at = np.concatenate([[0], np.cumsum(all_counts)])
                 key = part.column("doc_id")
-                null = key.is_null().to_numpy(zero_copy_only=False)
-                body = block(key.fill_null(0).to_numpy(zero_copy_only=False), null, counts, ids)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (before, pa.int64()), (b - a, pa.int32()), (len(ids), pa.int64()), (body, pa.binary()))],
-                                                 names=["shard", "block", "before", "n_docs", "n_ids", "body"])
-                before, number = before + len(ids), number + 1
+                null, key = key.is_null().to_numpy(zero_copy_only=False), key.fill_null(0).to_numpy(zero_copy_only=False)
+                for a, b in chunks(offsets[i:j + 1]):
+                    ids = all_ids[at[a]:at[b]]
+                    body = block(key[a:b], null[a:b], all_counts[a:b], ids)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (before, pa.int64()), (b - a, pa.int32()), (len(ids), pa.int64()), (body, pa.binary()))],
+                                                     names=["shard", "block", "before", "n_docs", "n_ids", "body"])
+                    before, number = before + len(ids), number + 1
     return run
 
 
