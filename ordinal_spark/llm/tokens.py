@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .text import ragged
 
-WORDS_KEPT, PIECES_KEPT = 500_000, 300_000  # of a worker's memories; beyond, the most used quarter stays
+WORDS_KEPT, PIECES_KEPT = 700_000, 300_000  # of a worker's memories; beyond, the most used quarter stays
 TOGETHER = 2_000              # new pieces that are encoded as one text
 # words of other than visible ASCII and Latin-1 letters, which NFC leaves and lower-casing takes letter by letter
 ODD_LINE = regex.compile("^[!-~À-ÖØ-öø-ÿ]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*$", regex.MULTILINE)
