@@ -116,3 +116,32 @@ def test_preprocess_raises_on_collision(spark):
     df = spark.createDataFrame([(*r[:3], "Brand#11", "STANDARD ANODIZED TIN", *r[5:]) for r in rows], S.struct_type())
     with pytest.raises(ValueError, match="1 incident ids stand for several incidents, e.g. 'XA1'.*year"):
         P.preprocess(df, S, encode=False, impute_missing=False)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_broadcast_no_table(spark):
+    """Orders, customers and parts grow with the line items: none goes
+    through the driver, however small its file is."""
+    assert "Broadcast" not in _plan(incident_reports(spark, SF_SMALL))
+
+
+def test_units_are_grouped_by_codes(spark):
+    raw = incident_reports(spark, SF_SMALL)
+    keys = [line.split("keys=[")[1].split("], functions")[0] for line in _plan(entity.incident_units(raw, S, True)).splitlines() if "keys=[" in line]
+    assert keys and not any(f"{f}#" in k for k in keys for f in S.split_fields)
+
+
+def test_units_of_unlisted_levels_and_nulls(spark):
+    """Codes keep nulls, unlisted levels and listed ones apart."""
+    values = [None, "", "Unlisted", "other", "F", "O"]
+    rows = [report("A", 2020, p, (a, "2-HIGH", b, "BUILDING", c), subject=x)
+            for p in ("Qtr 1", "Qtr 9", None) for a in values for b in (None, "1 to 9", "many") for c in (None, "More than 1 week") for x in ("s", "t", None)]
+    df = spark.createDataFrame(rows * 2, S.struct_type())
+    got = entity.incident_units(df, S, True)
+    fields = ["_key", "_year", "_period", *S.split_fields]
+    assert sorted(map(str, (tuple(r) for r in got.select(*fields, "_rows", S.subject_count_col).collect()))) == sorted(
+        str((*k, 6, 3)) for k in {(r[0], r[1], r[2], *r[5:]) for r in rows})
+    assert got.select(S.ref).distinct().count() == got.count()
