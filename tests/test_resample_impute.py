@@ -236,3 +236,15 @@ def test_rebalance_gate(spark, prepared):
     plan = {r["class"]: r["over_target"] for r in resample.sampling_plan(d, S.target).collect()}
     got = {r[0]: r[1] for r in out.groupBy(S.target).count().collect()}
     assert got == plan
+
+
+def test_neighbour_rings_broadcast_no_points(spark):
+    """Points multiplied by choices of features do not pass the driver, however
+    small the estimate of their size."""
+    rows = spark.range(200).selectExpr("1 as y", "cast(id % 17 as double) as s", "id % 3 as a", "id % 5 as b", "id % 2 as c")
+    sig = smote.Signatures(rows, ["a", "b", "c"])
+    points = smote.points_of(rows, "y", "s", sig)
+    open_ = points.select("_y", "_s", *sig.words, F.lit(1.0).alias("_med"), F.lit(None).cast("double").alias("_ub"))
+    for ring in range(3):
+        plan = smote._ring(points, open_, sig, ring, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
