@@ -17,6 +17,10 @@ from ordinal_spark.llm.mixing import mix_sources
 from ordinal_spark.llm.simple8b import encode_documents
 from ordinal_spark.llm.token_counts import word_bpe
 
+# The workers of a pipeline come to its last stage with what four others left
+# in them and in the executor, so they keep fewer words than operator 10 alone.
+TOGETHER, WORDS = 1 << 20, 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that score below its threshold go."""
@@ -40,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ids written and read back."""
-    return encode_documents(docs, word_bpe())
+    return encode_documents(docs, word_bpe(), TOGETHER, WORDS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("mixture", mixture), ("token_ids", token_ids)]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .frames import documents, shared_folder, text_bytes, text_rows
 from .text import chunks, flat
 from .token_counts import word_bpe
-from .tokens import encoder, load
+from .tokens import WORDS_KEPT, encoder, load
 
 END = 2
 RUN = 512
@@ -144,13 +144,13 @@ def read_block(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return out[0], out[1] == 1, out[2], unpack(out[4], out[5])
 
 
-def _packed(version: str, content, end: int):
+def _packed(version: str, content, end: int, together: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = encoder(version, content), TaskContext.get().partitionId()
+        own, shard = encoder(version, content, words), TaskContext.get().partitionId()
         before = number = 0
         for batch in batches:
             _, offsets = flat(batch.column("text"))
-            for i, j in chunks(offsets, TOGETHER):  # a word that comes again is looked up once
+            for i, j in chunks(offsets, together):  # a word that comes again is looked up once
                 part = batch.slice(i, j - i)
                 all_ids, all_counts = own.encode([x or "" for x in part.column("text").to_pylist()])
                 all_ids = np.insert(all_ids, np.cumsum(all_counts), end)
@@ -167,15 +167,17 @@ def _packed(version: str, content, end: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> None:
-    """Encode ``docs`` (doc_id, text) and write their ids in doc_id order."""
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, together: int = TOGETHER, words: int = WORDS_KEPT) -> None:
+    """Encode ``docs`` (doc_id, text) and write their ids in doc_id order.
+    ``together`` (bytes of text encoded at once) and ``words`` (a worker's
+    memory) trade memory for time; the ids do not depend on them."""
     spark = docs.sparkSession
     docs = text_rows(docs)
     version, content = load(spark, tokenizer)
     shards = max(1, -(-text_bytes(docs) // SHARD_BYTES))
     order = ["doc_id", "h"]
     docs = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    docs.select("doc_id", "text").mapInArrow(_packed(version, content, end), BLOCKS).write.parquet(path)
+    docs.select("doc_id", "text").mapInArrow(_packed(version, content, end, together, words), BLOCKS).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +201,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, together: int = TOGETHER, words: int = WORDS_KEPT) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and read them back."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_ids(docs, tokenizer, path)
+    write_ids(docs, tokenizer, path, together=together, words=words)
     return read_documents(spark, path)
 
 

@@ -32,11 +32,12 @@ from .text import ragged
 
 WORDS_KEPT, PIECES_KEPT = 700_000, 300_000  # of a worker's memories; beyond, the most used quarter stays
 TOGETHER = 2_000              # new pieces that are encoded as one text
+WORDS_TOGETHER = 20_000       # new words that are cut into pieces at once
 # words of other than visible ASCII and Latin-1 letters, which NFC leaves and lower-casing takes letter by letter
 ODD_LINE = regex.compile("^[!-~À-ÖØ-öø-ÿ]*[^!-~À-ÖØ-öø-ÿ\n][^\n]*$", regex.MULTILINE)
 MARK = "\x01"
 _FOLDING = {"NFC", "NFD", "Lowercase"}
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def drops_space(spec: dict) -> bool:
@@ -121,7 +122,10 @@ def printable_bytes() -> dict[int, int]:
 
 
 class Encoder:
-    def __init__(self, content: bytes) -> None:
+    """``words``: how many words its memory keeps, and at most half as many pieces."""
+
+    def __init__(self, content: bytes, words: int = WORDS_KEPT) -> None:
+        self.words_kept, self.pieces_kept = words, min(PIECES_KEPT, words // 2)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
@@ -142,17 +146,17 @@ class Encoder:
 
     def forget(self) -> None:
         """Keep what is used most of memories that have grown too large."""
-        if len(self.word) > WORDS_KEPT:
-            self.word, self.words, self.word_uses = most_used(self.word, self.words, self.word_uses, WORDS_KEPT // 4)
-        if len(self.piece) > PIECES_KEPT:
-            self.piece, self.piece_ids, self.piece_uses = most_used(self.piece, self.piece_ids, self.piece_uses, PIECES_KEPT // 4)
+        if len(self.word) > self.words_kept:
+            self.word, self.words, self.word_uses = most_used(self.word, self.words, self.word_uses, self.words_kept // 4)
+        if len(self.piece) > self.pieces_kept:
+            self.piece, self.piece_ids, self.piece_uses = most_used(self.piece, self.piece_ids, self.piece_uses, self.pieces_kept // 4)
 
     def _learn_pieces(self) -> None:
         new, self.piece.new = self.piece.new, []
-        groups = [new[i:i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        seen = [" ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes) for p in g) for g in groups]
-        for group, text in zip(groups, self.pieces.encode_batch_fast(seen, add_special_tokens=False)):
-            ids = np.array(text.ids, np.uint32)
+        for i in range(0, len(new), TOGETHER):
+            group = new[i:i + TOGETHER]
+            seen = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes) for p in group)
+            ids = np.array(self.pieces.encode_batch_fast([seen], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(group) or (len(ids) and last[-1] != len(ids)):
                 alone = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
@@ -162,6 +166,10 @@ class Encoder:
 
     def _learn_words(self) -> None:
         new, self.word.new = self.word.new, []
+        for i in range(0, len(new), WORDS_TOGETHER):
+            self._learn(new[i:i + WORDS_TOGETHER])
+
+    def _learn(self, new: list[str]) -> None:
         joined = "\n".join(new)
         odd = set(ODD_LINE.findall(joined))
         if any(x in joined for x in self.special):
@@ -229,8 +237,8 @@ def load(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
     return hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
 
-def encoder(version: str, content: Broadcast) -> Encoder:
-    """The worker's encoder for a version."""
-    if version not in _encoders:
-        _encoders[version] = Encoder(content.value)
-    return _encoders[version]
+def encoder(version: str, content: Broadcast, words: int = WORDS_KEPT) -> Encoder:
+    """The worker's encoder for a version and a size of memory."""
+    if (version, words) not in _encoders:
+        _encoders[version, words] = Encoder(content.value, words)
+    return _encoders[version, words]

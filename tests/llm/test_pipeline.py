@@ -3,10 +3,12 @@
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from ordinal_spark.llm import simple8b, tokens
 from ordinal_spark.llm.attention_mil import THRESHOLD
 from tests.llm.test_decontaminate_mixing import brute as leaks
 from tests.llm.test_jaccard_join import brute as components
@@ -43,6 +45,24 @@ def test_stages(spark):
     assert sorted(map(tuple, run.collect())) == sorted(ids)
 
 
+def test_token_ids_with_a_small_memory(monkeypatch):
+    """The last stage keeps fewer words in a worker than operator 10, and what
+    an encoder forgets does not change its ids."""
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda docs, tokenizer, together, words: seen.update(together=together, words=words))
+    corpus_pipeline.token_ids(None, None, DIR)
+    assert seen["words"] <= tokens.WORDS_KEPT // 3 and seen["together"] <= simple8b.TOGETHER // 4
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        own = tokens.Encoder(f.read(), 200)
+    t = Tokenizer.from_file(path)
+    texts = [x or "" for x in pq.read_table(f"{DIR}/documents.parquet", columns=["text"])["text"].to_pylist()[:40]]
+    for x in texts + texts:
+        assert own.encode([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+        own.forget()
+        assert len(own.word) <= 200 and len(own.piece) <= 100
+
+
 def test_quality_uses_its_threshold():
     assert THRESHOLD == 0.3
 
