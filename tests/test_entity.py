@@ -145,3 +145,23 @@ def test_units_of_unlisted_levels_and_nulls(spark):
     assert sorted(map(str, (tuple(r) for r in got.select(*fields, "_rows", S.subject_count_col).collect()))) == sorted(
         str((*k, 6, 3)) for k in {(r[0], r[1], r[2], *r[5:]) for r in rows})
     assert got.select(S.ref).distinct().count() == got.count()
+
+
+def test_shuffles_are_bounded_by_the_rows(spark):
+    """No partition of the reports' joins and groups grows with the tables."""
+    from ordinal_spark.session import SHUFFLE_BYTES, SHUFFLE_ROWS, bound_shuffles
+    from ordinal_spark.sources.fixtures import incident_reports
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[1], "64m")
+        incident_reports(spark, SF_SMALL)
+        assert spark.conf.get(keys[1]) == str(SHUFFLE_BYTES) and spark.conf.get(keys[0]) == held[keys[0]]
+        bound_shuffles(spark, 300 * SHUFFLE_ROWS - 1)
+        assert spark.conf.get(keys[0]) == "300"
+        spark.conf.set(keys[1], "512kb")
+        bound_shuffles(spark, 10)  # neither fewer partitions nor larger ones
+        assert spark.conf.get(keys[0]) == "300" and spark.conf.get(keys[1]) == "512kb"
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
