@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ordinal_spark.llm.attention_mil import THRESHOLD, quality_labels, quality_score
 from ordinal_spark.llm.decontaminate import decontaminate
-from ordinal_spark.llm.frames import documents, written
+from ordinal_spark.llm.frames import bound_batches, documents, written
 from ordinal_spark.llm.jaccard_join import one_of_each
 from ordinal_spark.llm.mixing import mix_sources
 from ordinal_spark.llm.simple8b import encode_documents
 from ordinal_spark.llm.token_counts import word_bpe
 
 # The workers of a pipeline come to its last stage with what four others left
-# in them and in the executor, so they keep fewer words than operator 10 alone.
-TOGETHER, WORDS = 1 << 20, 200_000
+# in them and in the executor, so they keep fewer words than operator 10 alone,
+# and none after a task; Arrow batches are smaller on both sides.
+TOGETHER, WORDS, BATCH = 1 << 20, 60_000, 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that score below its threshold go."""
+    """Operator 8: documents that score below its threshold go. The first
+    stage sets the size of Arrow batches for all."""
+    bound_batches(spark, BATCH)
     return docs.filter(quality_score(docs, quality_labels(spark, sf_dir)) >= THRESHOLD)
 
 

@@ -35,10 +35,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Arrow batches of a few MB: ten thousand long texts would be hundreds."""
-    if int(spark.conf.get(BATCH_CONF).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    if int(spark.conf.get(BATCH_CONF).rstrip("b")) > size:
+        spark.conf.set(BATCH_CONF, str(size))
 
 
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .frames import documents, shared_folder, text_bytes, text_rows
 from .text import chunks, flat
 from .token_counts import word_bpe
-from .tokens import WORDS_KEPT, encoder, load
+from .tokens import WORDS_KEPT, drop_encoders, encoder, load
 
 END = 2
 RUN = 512
@@ -164,13 +164,18 @@ def _packed(version: str, content, end: int, together: int, words: int):
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (before, pa.int64()), (b - a, pa.int32()), (len(ids), pa.int64()), (body, pa.binary()))],
                                                      names=["shard", "block", "before", "n_docs", "n_ids", "body"])
                     before, number = before + len(ids), number + 1
+        if words < WORDS_KEPT:
+            del own
+            drop_encoders()
     return run
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, together: int = TOGETHER, words: int = WORDS_KEPT) -> None:
     """Encode ``docs`` (doc_id, text) and write their ids in doc_id order.
     ``together`` (bytes of text encoded at once) and ``words`` (a worker's
-    memory) trade memory for time; the ids do not depend on them."""
+    memory) trade memory for time; the ids do not depend on them. A memory of
+    fewer words than ``WORDS_KEPT`` lasts for a task, as other stages are to
+    have its room."""
     spark = docs.sparkSession
     docs = text_rows(docs)
     version, content = load(spark, tokenizer)

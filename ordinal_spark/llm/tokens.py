@@ -16,6 +16,7 @@ by word. Other tokenizers get whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -242,3 +243,13 @@ def encoder(version: str, content: Broadcast, words: int = WORDS_KEPT) -> Encode
     if (version, words) not in _encoders:
         _encoders[version, words] = Encoder(content.value, words)
     return _encoders[version, words]
+
+
+def drop_encoders() -> None:
+    """Let a worker's encoders go, and give back what its allocators would
+    keep of them."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)

@@ -1,8 +1,10 @@
 """Each stage of the pipeline against a direct computation on its own input."""
 
 import zlib
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
@@ -63,6 +65,21 @@ def test_token_ids_with_a_small_memory(monkeypatch):
         assert len(own.word) <= 200 and len(own.piece) <= 100
 
 
+def test_a_task_of_token_ids_leaves_no_encoder(monkeypatch):
+    """Idle workers that kept theirs took the next run's first stage beyond an
+    executor's memory; operator 10 alone keeps its own."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        content = SimpleNamespace(value=f.read())
+    monkeypatch.setattr(simple8b, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokens, "_encoders", {})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", None])], names=["doc_id", "text"])
+    rows = {}
+    for words in (corpus_pipeline.WORDS, tokens.WORDS_KEPT):
+        rows[words] = [b.to_pylist() for b in simple8b._packed("v", content, 2, corpus_pipeline.TOGETHER, words)(iter([batch]))]
+        assert len(tokens._encoders) == (words == tokens.WORDS_KEPT)
+    assert rows[corpus_pipeline.WORDS] == rows[tokens.WORDS_KEPT]
+
+
 def test_quality_uses_its_threshold():
     assert THRESHOLD == 0.3
 
