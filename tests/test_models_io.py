@@ -204,3 +204,32 @@ def test_boosting_beyond_one_task_equals_boosting_in_one(spark, monkeypatch, dep
         assert np.allclose(B.log_odds(a, x), B.log_odds(b, x), atol=1e-3)
         assert np.allclose(a["importance"], b["importance"], atol=1e-3)
     assert len(parts) == 3
+
+
+def test_boosting_sums_by_cells_without_the_matrix_of_answers(monkeypatch):
+    """A round's work follows the features, not points times questions; of
+    questions with one gain (a flag and its opposite) the first wins."""
+    import numpy as np
+
+    from ordinal_spark.models import boosting as B
+
+    rnd = np.random.default_rng(2)
+    x = np.stack([rnd.integers(0, 2, 500), rnd.integers(0, 40, 500), rnd.integers(0, 40, 500), np.zeros(500)], axis=1).astype(float)
+    x = np.concatenate([x, 1 - x[:, :1]], axis=1)
+    y, w = (x[:, 1] + 9 * x[:, 0] + rnd.normal(0, 5, 500) > 22).astype(float), rnd.random(500) + 0.5
+    ask = B.answers(x, cuts := B.borders(x)).astype(float)
+    for code, own in (groups := B.grouped(x, cuts)):
+        assert len(own) <= B.GROUP_CELLS
+    assert np.array_equal(np.concatenate([own[code] for code, own in groups], axis=1), ask) and len(groups) < 4
+    monkeypatch.setattr(B, "answers", None)
+    model, score = B.boost(x, y, w, 12, 0.3, 3, 6.0), np.zeros(500)
+    assert ask.shape[1] - 1 not in model["questions"] and 0 in model["questions"]
+    for qs, values in zip(model["questions"], model["leaves"]):
+        p = 1 / (1 + np.exp(-score))
+        g, h, leaf = w * (y - p), w * p * (1 - p), np.zeros(500, int)
+        for q in qs:
+            gain = [sum(g[m].sum() ** 2 / (h[m].sum() + 6.0) for i in range(leaf.max() + 1) for m in ((leaf == i) & (a == 0), (leaf == i) & (a == 1))) for a in ask.T]
+            assert gain[q] >= max(gain) * (1 - 1e-8)
+            leaf = 2 * leaf + ask[:, q].astype(int)
+        assert np.allclose(values[leaf], 0.3 * np.bincount(leaf, g, 8)[leaf] / (np.bincount(leaf, h, 8)[leaf] + 6.0))
+        score = score + values[leaf]
