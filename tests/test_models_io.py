@@ -168,6 +168,28 @@ def test_probabilities(separable, cls, params):
             assert len(p) == 4 and abs(sum(p) - 1) < 1e-9 and p[r["prediction"] - 1] == max(p)
 
 
+def test_forest_is_grown_in_parts_and_all_trees_count(separable, monkeypatch):
+    import numpy as np
+
+    from ordinal_spark.models import ordinal
+
+    monkeypatch.setattr(OrderedForest, "TREES_PER_FIT", 4)
+    monkeypatch.setattr(OrderedForest, "ROWS_PER_TASK", 600)
+    tasks, compact = [], ordinal.compact
+    monkeypatch.setattr(ordinal, "compact", lambda *a: tasks.append(compact(*a)) or tasks[-1])
+    m = OrderedForest(["x1", "x2"], label="y", classes=[1, 2, 3, 4], n_estimators=10, min_samples_leaf=5, max_features=2)
+    m.fit(separable.withColumn("y", (F.rand(7) * 4 + 1).cast("int")).repartition(5))
+    assert [[p.getNumTrees for p in parts] for parts in m.models_] == [[4, 4, 2]] * 3
+    assert all(t.rdd.getNumPartitions() <= 2 for t in tasks)
+    for parts in m.models_:  # parts differ, as trees of one fit do
+        assert len({t.toDebugString.partition("\n")[2] for p in parts for t in p.trees}) == 10
+    data, probs = m._prob_cols(ordinal.assemble(separable.limit(30), m.features))
+    for r in data.select(ordinal.FEAT, *probs).collect():
+        for i, parts in enumerate(m.models_):
+            assert abs(r[1 + i] - np.mean([t.predict(r[0]) for p in parts for t in p.trees])) < 1e-9
+    assert abs(sum(v for _, v in m.importance()) - 1) < 1e-9
+
+
 def test_boosting_on_points_equals_boosting_on_rows():
     import numpy as np
 
