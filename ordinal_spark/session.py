@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -112,3 +113,16 @@ def cut_lineage(df, spark: SparkSession | None = None):
     df = df.cache()
     df.count()
     return df
+
+
+def pin_columns(df, name: str):
+    """``df`` written as Parquet to the shared checkpoint folder and read back,
+    for passes that each read a few narrow columns; without a folder it is
+    pinned as by ``cut_lineage``."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if not folder:
+        return cut_lineage(df)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -182,6 +182,35 @@ def test_chained_imputation_of_two_columns(spark):
     assert empty.where("y is not null or z is null").count() == 0 and set(fit.fits) == {"z"}
 
 
+def test_chained_imputation_reads_its_rows_once(spark):
+    """Rounds go over pinned rows: what made them runs once, however many rounds."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+    rnd = np.random.default_rng(3)
+    M = rnd.normal(5, 1, (200, 3)) + 1e6
+    M[:, 2] += M[:, 0] - 1e6
+    rows = [(float(a), float(b) if i % 4 else None, float(c) if i % 5 else None) for i, (a, b, c) in enumerate(M)]
+    schema = "a double, y double, z double"
+    df = spark.createDataFrame(rows, schema).repartition(3).mapInArrow(counted, schema)
+    for pinned in (1, 5):  # the same rows, whatever rounds are pinned
+        impute.PIN_ROUNDS, before = pinned, runs.value
+        out, fit = impute.impute_columns(df, ["y", "z"], ["a"], rounds=3, tol=0.0)
+        got = sorted(map(tuple, out.collect()))
+        assert fit.rounds == 3 and runs.value - before == 200
+        assert pinned == 1 or np.allclose(got, first, rtol=1e-12)
+        first = got
+    n, mean, gram = impute.gram_statistics(df.where("y is not null and z is not null").withColumn("one", F.lit(7.1)), ["a", "one", "y"], "z")
+    full = np.array([r for r in rows if None not in r])
+    full = np.insert(full, 1, 7.1, axis=1)
+    assert n == len(full) and np.allclose(mean, full.mean(0), rtol=1e-12)
+    assert np.allclose(gram, (full - full.mean(0)).T @ (full - full.mean(0)), rtol=1e-7, atol=1e-6)
+    assert not gram[1].any() and not gram[:, 1].any()
+
+
 def test_quantiles_by_counting_passes(spark):
     from ordinal_spark.operators.quantiles import quantiles
     rnd = np.random.default_rng(9)
