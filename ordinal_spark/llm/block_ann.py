@@ -2,7 +2,10 @@
 
 Vectors are scaled to length one, quantised to int8 with a scale of their own
 and packed into blocks; each query block meets each candidate block in a tile.
-A tile's int8 matrix product estimates all its cosines at once, and the norms
+A task takes a few query blocks and a few candidate blocks and makes all their
+tiles, so blocks are sent once for each such group, not for each tile, and none
+is joined (a join's size estimate leaves out the copies, and they would be
+broadcast through the driver). A tile's int8 matrix product estimates all its cosines at once, and the norms
 of what quantising lost bound the error (Cauchy-Schwarz):
 
     |x.y - s.t(q.p)| <= |s q| |y - t p| + |x - s q| |y|.
@@ -31,11 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .frames import written
+from .frames import bound_batches, written
 
 K = 5
 QUERY_ROWS, ROWS = 2048, 4096   # most vectors of a block, on average
 TILES = 16                      # candidate blocks that one task takes in a row
+QUERY_TILES = 8                 # query blocks that meet them there
 BLOCK = "dim int, block int, body binary"
 NEAR = "q long, c long, score double"
 _EPS = 1e-6                     # float rounding of the bounds themselves
@@ -47,12 +51,16 @@ def usable(vector: str) -> Column:
 
 
 def _block(vectors: np.ndarray, ids: np.ndarray) -> bytes:
-    return np.array(vectors.shape, "<i8").tobytes() + ids.astype("<i8").tobytes() + vectors.astype("<f8").tobytes()
+    """Number, length, ids and components; these as floats, if that is exact."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = vectors.astype("<f4")
+    exact = np.array_equal(short.astype("<f8"), vectors)
+    return np.array([*vectors.shape, exact], "<i8").tobytes() + ids.astype("<i8").tobytes() + (short if exact else vectors.astype("<f8")).tobytes()
 
 
 def _unblock(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, d = np.frombuffer(body, "<i8", 2)
-    return np.frombuffer(body, "<i8", n, 16), np.frombuffer(body, "<f8", n * d, 16 + 8 * n).reshape(n, d)
+    n, d, short = np.frombuffer(body, "<i8", 3)
+    return np.frombuffer(body, "<i8", n, 24), np.frombuffer(body, "<f4" if short else "<f8", n * d, 24 + 8 * n).reshape(n, d).astype(np.float64)
 
 
 def pack_blocks(key: tuple, table: pa.Table) -> pa.Table:
@@ -130,19 +138,25 @@ def tile(q: Quantised, c: Quantised, heaps: Heaps) -> int:
 
 
 def search_tiles(keep: int):
-    """Rows (q_block, q_body, c_body), those of a query block together."""
+    """Rows (dim, q_group, c_group, is_candidate, block, body), those of a group
+    together and its query blocks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, q, heaps = None, None, None
+        current, asked = None, []
         for batch in batches:
-            for dim, number, q_body, c_body in zip(*(batch.column(x) for x in ("dim", "q_block", "q_body", "c_body"))):
-                here = (dim.as_py(), number.as_py())
+            for *group, is_candidate, body in zip(*(batch.column(x) for x in ("dim", "q_group", "c_group", "is_candidate", "body"))):
+                here = tuple(x.as_py() for x in group)
                 if here != current:
-                    if heaps:
+                    for _, heaps in asked:
                         yield heaps.batch()
-                    current, q = here, Quantised(q_body.as_py())
-                    heaps = Heaps(q.ids, keep)
-                tile(q, Quantised(c_body.as_py()), heaps)
-        if heaps:
+                    current, asked = here, []
+                if not is_candidate.as_py():
+                    q = Quantised(body.as_py())
+                    asked.append((q, Heaps(q.ids, keep)))
+                elif asked:
+                    c = Quantised(body.as_py())
+                    for q, heaps in asked:
+                        tile(q, c, heaps)
+        for _, heaps in asked:
             yield heaps.batch()
     return run
 
@@ -166,16 +180,20 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
               .withColumn("v", F.min("id").over(by_vector)))
     ranked = written(ranked.select("id", "v", "r", "h", "vector"), "vectors")
     distinct = ranked.filter("r = 1").select("h", "v", "vector")
-    asking = rows.filter(is_query).select("id", "h", "vector").join(distinct.select("h", "vector", "v"), ["h", "vector"]).select("id", "v", "h")
+    asking = rows.filter(is_query).select("id", "h", "vector").join(distinct.select("h", "vector", "v").hint("merge"), ["h", "vector"]).select("id", "v", "h")
     wanted = asking.groupBy("v").agg(F.min("id").alias("any"))
     candidates, n_blocks = _cut(distinct, ROWS)
     queries, n_query_blocks = _cut(distinct.join(wanted, "v", "left_semi"), QUERY_ROWS)
-    # every query block meets every candidate block: one row a tile
-    tiles = (queries.select("dim", F.col("block").alias("q_block"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("c_block"))
-             .join(candidates.select("dim", F.col("block").alias("c_block"), F.col("body").alias("c_body")), ["dim", "c_block"]))
-    tiles = (tiles.repartition(n_query_blocks * -(-n_blocks // TILES), "dim", "q_block", F.floor(F.col("c_block") / TILES))
-             .sortWithinPartitions("dim", "q_block"))
-    near = tiles.select("dim", "q_block", "q_body", "c_body").mapInArrow(search_tiles(k + 1), NEAR)
+    # every group of query blocks meets every group of candidate blocks, once
+    q_groups, c_groups = -(-n_query_blocks // QUERY_TILES), -(-n_blocks // TILES)
+    bound_batches(table.sparkSession)
+    tiles = (queries.select("dim", F.floor(F.col("block") / QUERY_TILES).cast("int").alias("q_group"), F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))).alias("c_group"),
+                            F.lit(False).alias("is_candidate"), "block", "body")
+             .unionByName(candidates.select("dim", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("q_group"), F.floor(F.col("block") / TILES).cast("int").alias("c_group"),
+                                            F.lit(True).alias("is_candidate"), "block", "body")))
+    tiles = (tiles.repartitionById(q_groups * c_groups, F.col("q_group") * c_groups + F.col("c_group"))
+             .sortWithinPartitions("dim", "q_group", "c_group", "is_candidate", "block"))
+    near = tiles.drop("block").mapInArrow(search_tiles(k + 1), NEAR)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("q", "c", "score")
     named = near.join(ranked.select(F.col("v").alias("c"), F.col("id").alias("vec_id")), "c")

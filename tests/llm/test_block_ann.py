@@ -62,3 +62,25 @@ def test_bounds_hold_and_prune():
     heaps = Heaps(q.ids, 6)
     assert tile(q, c, heaps) < 40 * 3000 * 0.02  # few pairs are recomputed
     assert [sorted(-x for _, x in h) for h in heaps.heaps] == [sorted(np.argsort(-r)[:6].tolist()) for r in true]
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """One large block holds all queries: what is sent of it is many times what
+    a size estimate of its rows says."""
+    monkeypatch.setattr(block_ann, "ROWS", 16)
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA).repartition(4)
+    out = nearest(df, F.col("id") % 50 == 0)
+    same(out, brute(rows, lambda q: q % 50 == 0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    above = final[:final.index("FlatMapGroupsInArrow")].splitlines()
+    tiles = next(i for i, line in enumerate(above) if "MapInArrow" in line)
+    assert not any("Join" in line for line in above[tiles:]), "\n".join(above[tiles:])
+
+
+def test_components_that_are_no_floats_stay_exact():
+    v = np.array([[0.1, 1e300], [1.0, 2.0]])
+    assert np.array_equal(block_ann._unblock(_block(v, np.arange(2)))[1], v)
+    assert np.array_equal(block_ann._unblock(_block(v[1:], np.arange(1)))[1], v[1:])
