@@ -277,3 +277,34 @@ def test_neighbour_rings_broadcast_no_points(spark):
     for ring in range(3):
         plan = smote._ring(points, open_, sig, ring, 5)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_modes_and_scores_come_with_a_points_neighbours(spark):
+    """One row for each point: its neighbour rows' values, of which the most
+    frequent and then the smallest in text order counts, and their scores."""
+    rows = spark.createDataFrame([(1, 0.0, 9, "a", 0), (1, 1.0, 10, "b", 0), (1, 2.0, 10, None, 0), (1, 3.0, 9, "b", 0), (1, 5.0, 9, "a", 0)], "y int, s double, g int, h string, n int")
+    sig = smote.Signatures(rows, ["g", "h", "n"])
+    held = rows.select("*", *sig.columns()).agg(F.collect_list(F.struct(*sig.words, "s")).alias("r"))
+    got = held.select(*[sig.texts(i, "r").alias(f"v{i}") for i in range(3)]).select("*", *[smote.most_frequent(f"v{i}").alias(f"m{i}") for i in range(3)]).first()
+    assert sorted(got["v0"]) == ["10", "10", "9", "9", "9"] and (got["m0"], got["m1"], got["m2"]) == ("9", "a", "0")
+    tied = spark.sql("select array('9', '10', '10', '9', null) as v, array('b', null, null, 'b') as w")
+    assert tuple(tied.select(smote.most_frequent("v"), smote.most_frequent("w")).first()) == ("10", None)
+    _, near = smote.nearest_lists(rows, "y", "s", ["g", "h", "n"], 2)
+    assert near.count() == 5 and {len(r["_near"]) for r in near.collect()} == {2}
+
+
+def test_undersampled_rows_are_made_once(spark, prepared, monkeypatch):
+    """Every pass of a resampling reads the written rows, not their sorting and
+    counting anew."""
+    pinned = []
+    monkeypatch.setattr(smote, "pin_columns", lambda df, name, pin=smote.pin_columns: pinned.append(name) or pin(df, name))
+    out = smote.resample_training(prepared.data, S.target, S.ref, S.score_col, prepared.dummies)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert pinned[0] == "undersampled" and "ring" in pinned
+    assert plan.count("row_number()") == 1  # base rows inside their class only
+
+    def spreads(rows):  # not a digit goes by how rows lie
+        points = smote.nearest_lists(rows, S.target, S.score_col, ["time_to_report"])[0]
+        return sorted(map(tuple, points.select("_y", "_med").distinct().collect()))
+
+    assert spreads(prepared.data.repartition(3, F.md5(S.ref))) == spreads(prepared.data.repartition(11, S.ref))
